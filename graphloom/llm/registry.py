@@ -27,7 +27,23 @@ def op5_line_frequency_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts.drop("host")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_chosen_path_near_dedup, op5_line_frequency_quality)}
+def op8_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Poor-quality and toxicity probabilities of all documents, and the verdict."""
+    from graphloom.llm.toxicity_chain import THRESHOLD, standard_chain
+
+    docs = _docs(spark, sf_dir)
+    chain = standard_chain(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return chain.score(docs).withColumn("toxic", F.col("p_toxic") >= THRESHOLD)
+
+
+def op9_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License labels of all documents."""
+    from graphloom.llm.license_rules import license_scan
+
+    return license_scan(_docs(spark, sf_dir)).drop("detections")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_chosen_path_near_dedup, op5_line_frequency_quality, op8_toxicity_chain, op9_license_rules)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORD = r"'[^\x20\x09-\x0D]+'"
