@@ -1 +1,309 @@
-"""To come."""
+"""Personal data: base patterns, and a skip-chain conditional random field over the rest.
+
+Base patterns find e-mail addresses, IPv4 addresses, payment cards and phone
+numbers.  The field then labels the remaining tokens that have a digit or an
+at-sign; all other tokens are outside any entity.  Its potentials:
+
+* a token's shape (runs of digits, letters and other characters, whether it is
+  part of a base match that failed its check) says how likely each label is;
+* labels of neighbouring tokens of this kind share a transition potential;
+* distant tokens that repeat each other, or have the same digits, share a skip
+  potential, so what is known to be a phone number in one place is one in the
+  other.
+
+All potentials are log-ratios of counts over all documents in which base
+matches are the labels; tokens inside base matches are observed.  Loopy
+sum-product message passing gives each free token's beliefs; runs of free
+tokens with one label above one half become spans.
+
+Defined results: null and empty texts have no spans; a null id stays null;
+repeated rows each get a result; texts of any length go through whole, each
+token with skip edges to its previous and its first repetition only, so edges
+grow with the tokens; empty tables give empty tables; extra columns are ignored.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import re
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from graphloom.llm.cluster import private, ship
+
+#: Kinds in the order in which spans are listed; label 0 of the field is "outside".
+KINDS = ("email", "ip", "card", "phone")
+_LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+_CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+_PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+_DIGIT = re.compile(r"[0-9]")
+_TOKEN = re.compile(r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*")
+_EDGE = re.compile(r"^[^\w@+(]+|[^\w)]+$")
+#: Rounds of message passing, damping, weight added to counts, belief for a span.
+ROUNDS, DAMP, SMOOTH, BELIEF = 12, 0.3, 0.5, 0.5
+#: A token's shape keeps its first runs; this bounds the table of shapes.
+RUNS = 4
+
+
+def _luhn(digits: str) -> bool:
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        d = ord(c) - 48
+        if i % 2:
+            d = d * 2 - 9 * (d > 4)
+        total += d
+    return total % 10 == 0
+
+
+def _emails(text: str) -> Iterator[tuple[int, int]]:
+    """Matches end at an at-sign's domain and start where its local characters start, after the match before."""
+    done, at = 0, text.find("@")
+    while at >= 0:
+        if at >= done:
+            floor = max(done, text.rfind(" ", 0, at) + 1)
+            start = floor + len(text[floor:at].rstrip(_LOCAL))
+            if start < at and (m := _EMAIL.match(text, start)):
+                yield m.span()
+                done = m.end()
+        at = text.find("@", at + 1)
+
+
+def base_spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[int, int]]]:
+    """Spans by the base patterns, by kind and start, and the matches that failed their checks."""
+    spans, failed = [], []
+    if "@" in text:
+        spans += [("email", *s) for s in _emails(text)]
+    if not _DIGIT.search(text):
+        return spans, failed
+    for m in _IP.finditer(text):
+        good = all(int(x) <= 255 for x in m.group().split(".")) if len(m.group()) < 4000 else all(int(x.lstrip("0")[:4] or 0) <= 255 for x in m.group().split("."))
+        spans.append(("ip", *m.span())) if good else failed.append(m.span())
+    for m in _CARD.finditer(text):
+        if m.end() - m.start() < 13:
+            continue
+        digits = m.group().replace(" ", "").replace("-", "")
+        if len(digits) >= 13:
+            spans.append(("card", *m.span())) if len(digits) <= 19 and _luhn(digits) else failed.append(m.span())
+    if "+" in text:
+        for m in _PHONE.finditer(text):
+            n = sum(c.isdigit() for c in m.group())
+            spans.append(("phone", *m.span())) if 9 <= n <= 15 else failed.append(m.span())
+    return spans, failed
+
+
+def _shape(word: str, failed: bool) -> str:
+    """Runs of a token: 9 digits, a letters, themselves others, with a length class."""
+    out, last, n = [], "", 0
+    for c in word + "\0":
+        kind = "9" if "0" <= c <= "9" else "a" if c.isalpha() else c if c.isascii() else "u"
+        if kind != last:
+            if last:
+                out.append(last + ("" if n == 1 else "2" if n < 4 else "4" if n < 7 else "7" if n < 13 else "+"))
+            if len(out) == RUNS:
+                break
+            last, n = kind, 0
+        n += 1
+    return "".join(out) + ("!" if failed else "")
+
+
+class _Tokens:
+    """The tokens of one text that may be personal data, with their evidence."""
+
+    def __init__(self, text: str, spans: list[tuple[str, int, int]], failed: list[tuple[int, int]]):
+        found = [(m.start(), m.end()) for m in _TOKEN.finditer(text)]
+        self.at, self.shape, self.key = [], [], []
+        for a, b in found:
+            word = text[a:b]
+            cut = _EDGE.sub("", word) or word
+            lead = word.find(cut)
+            self.at.append((a + lead, a + lead + len(cut)))
+            digits = "".join(_DIGIT.findall(cut))
+            self.key.append("#" + digits if len(digits) >= 7 and "@" not in cut else cut.lower())
+        n = len(self.at)
+        starts = np.array([a for a, _ in self.at] or [0])
+        self.seen, bad = np.zeros(n, np.int64), np.zeros(n, bool)
+
+        def covered(a: int, b: int) -> slice:
+            lo = int(np.searchsorted(starts, a, "right"))
+            lo = lo - 1 if lo and self.at[lo - 1][1] > a else lo
+            return slice(lo, int(np.searchsorted(starts, b, "left")))
+
+        for a, b in failed:
+            bad[covered(a, b)] = n > 0
+        for kind, a, b in spans:
+            self.seen[covered(a, b)] = KINDS.index(kind) + 1
+        self.shape = [_shape(text[a:b], bool(f)) for (a, b), f in zip(self.at, bad, strict=True)]
+        self.next = [not text[found[i][1] : found[i + 1][0]].strip() for i in range(n - 1)]
+
+    def skips(self) -> list[tuple[int, int]]:
+        """Pairs of repeated tokens of at least four characters: with the previous and with the first."""
+        first, last, out = {}, {}, set()
+        for i, k in enumerate(self.key):
+            if len(k) >= 4:
+                if k in first:
+                    out |= {(last[k], i), (first[k], i)}
+                first.setdefault(k, i)
+                last[k] = i
+        return sorted(out)
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What, per task, the potentials are made of: (kind, a, b, n)."""
+    c: Counter = Counter()
+    for batch in batches:
+        for text in batch.column("text").to_pylist():
+            if not text or ("@" not in text and not _DIGIT.search(text)):
+                continue
+            t = _Tokens(text, *base_spans(text))
+            c.update(("shape", s, str(y)) for s, y in zip(t.shape, t.seen, strict=True))
+            c.update(("next", str(t.seen[i]), str(t.seen[i + 1])) for i, near in enumerate(t.next) if near)
+            c.update(("skip", "", str(int(t.seen[i] == t.seen[j]))) for i, j in t.skips() if t.seen[i] or t.seen[j])
+    rows = [(*k, n) for k, n in c.items()]
+    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string() if i < 3 else pa.int64()) for i in range(4)], names=["kind", "a", "b", "n"])
+
+
+class Field:
+    """Potentials of the field, as log values."""
+
+    def __init__(self, counts: list[tuple[str, str, str, int]]):
+        shape: dict = defaultdict(lambda: np.zeros(5))
+        step, agree = np.zeros((5, 5)), np.zeros(2)
+        for kind, a, b, n in counts:
+            if kind == "shape":
+                shape[a][int(b)] += n
+            elif kind == "next":
+                step[int(a), int(b)] += n
+            else:
+                agree[int(b)] += n
+        prior = sum(shape.values(), np.zeros(5)) + SMOOTH
+        prior /= prior.sum()
+        # Shapes seen under a base match count for their free twins; unseen ones count as outside.
+        self.shape = {s: np.log((v + SMOOTH * np.array([4, 0.25, 0.25, 0.25, 0.25])) / (v.sum() + 5 * SMOOTH)) for s, v in shape.items()}
+        self.unseen = np.log(np.array([0.96, 0.01, 0.01, 0.01, 0.01]))
+        lift = (step + SMOOTH) / (step.sum() + 25 * SMOOTH) / np.outer(prior, prior)
+        self.step = np.clip(np.log(lift), -3, 3)
+        self.skip = float(np.clip(np.log((agree[1] + 1) / (agree[0] + 1)), 2.0, 6.0))
+
+    def spans(self, text: str, base: list[tuple[str, int, int]], failed: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
+        """Spans that the field adds to the base ones."""
+        t = _Tokens(text, base, failed)
+        n, free = len(t.at), t.seen == 0
+        if not free.any():
+            return []
+        unary = np.array([self.shape.get(s, self.unseen) for s in t.shape])
+        observed = np.full((n, 5), -30.0)
+        observed[np.arange(n), t.seen] = 0.0
+        skips = t.skips()
+        unary = np.where(free[:, None], unary, observed)
+        edges = [(i, i + 1, self.step) for i, near in enumerate(t.next) if near and (free[i] or free[i + 1])]
+        same = np.eye(5) * self.skip
+        edges += [(i, j, same) for i, j in skips if free[i] or free[j]]
+        belief = unary.copy()
+        if edges:
+            src = np.array([x for i, j, _ in edges for x in (i, j)])
+            dst = np.array([x for i, j, _ in edges for x in (j, i)])
+            pot = np.array([p for _, _, e in edges for p in (e, e.T)])
+            back = np.arange(len(src)) ^ 1
+            msg = np.zeros((len(src), 5))
+            for _ in range(ROUNDS):
+                belief = unary.copy()
+                np.add.at(belief, dst, msg)
+                out = (belief[src] - msg[back])[:, :, None] + pot
+                top = out.max(axis=1)
+                out = top + np.log(np.exp(out - top[:, None, :]).sum(axis=1))
+                out -= out.max(axis=1, keepdims=True)
+                if np.abs(out - msg).max() < 1e-4:
+                    break
+                msg = DAMP * msg + (1 - DAMP) * out
+            belief = unary.copy()
+            np.add.at(belief, dst, msg)
+        p = np.exp(belief - belief.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        best = p.argmax(axis=1)
+        taken = sorted((a, b) for _, a, b in base)
+        out: list[tuple[str, int, int]] = []
+        for i in np.flatnonzero(free & (best > 0) & (p.max(axis=1) > BELIEF)):
+            a, b = t.at[i]
+            if any(x < b and y > a for x, y in taken):
+                continue
+            kind = KINDS[best[i] - 1]
+            joins = bool(out) and out[-1][0] == kind and i and t.next[i - 1] and t.at[i - 1][1] == out[-1][2]
+            if joins:
+                out[-1] = (kind, out[-1][1], b)
+            else:
+                out.append((kind, a, b))
+        return out
+
+
+def _listed(spans: list[tuple[str, int, int]]) -> str:
+    return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (KINDS.index(s[0]), *s[1:])))
+
+
+def _found(text: str | None, field: Field) -> tuple[list, list]:
+    if not text or ("@" not in text and not _DIGIT.search(text)):
+        return [], []
+    base, failed = base_spans(text)
+    return base, field.spans(text, base, failed)
+
+
+def _finder(field: Field) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for text in batch.column("text").to_pylist():
+                base, more = _found(text, field)
+                n = Counter(k for k, _, _ in base)
+                rows.append((*[n[k] for k in KINDS], hashlib.sha256(_listed(base).encode()).hexdigest(), _listed(base + more), len(more)))
+            kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()]
+            cols = [pa.array([r[i] for r in rows], kinds[i]) for i in range(7)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"])
+
+    return run
+
+
+def fitted(docs: DataFrame, text_col: str = "text") -> Field:
+    """Potentials from counts over all documents; shapes are few, so the summed counts are too."""
+    ship(docs.sparkSession)
+    own = private(docs, {"text": text_col}).select(F.col("text").cast("string"))
+    counts = own.mapInArrow(_count, "kind string, a string, b string, n long").groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
+    return Field([tuple(r) for r in counts.collect()])
+
+
+def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", field: Field | None = None) -> DataFrame:
+    """Per row: doc_id, base counts, base_sha256, spans (base and added) and n_added."""
+    field = field or fitted(docs, text_col)
+    kind = dict(docs.dtypes).get(id_col, "string")
+    own = private(docs, {"doc_id": id_col, "text": text_col}).withColumn("text", F.col("text").cast("string"))
+    return own.mapInArrow(_finder(field), f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+
+
+def _redact(field: Field) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index("text")
+            out = []
+            for text in batch.column(at).to_pylist():
+                base, more = _found(text, field)
+                done = len(text or "")
+                for kind, a, b in sorted(base + more, key=lambda s: (-s[2], s[1])):
+                    a, b = a, min(b, done)
+                    if a < b:
+                        text = f"{text[:a]}[{kind.upper()}]{text[b:]}"
+                        done = a
+                out.append(text)
+            yield batch.set_column(at, batch.schema.field(at), pa.array(out, batch.schema.field(at).type))
+
+    return run
+
+
+def redacted(docs: DataFrame, field: Field | None = None) -> DataFrame:
+    """``docs`` (with a string column ``text``) with every span replaced by its kind in brackets."""
+    field = field or fitted(docs)
+    return docs.mapInArrow(_redact(field), docs.schema)

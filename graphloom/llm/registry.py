@@ -12,6 +12,20 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_subset_sum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words that the mix takes of every document."""
+    from graphloom.llm.mixing import mix_report
+
+    return mix_report(_docs(spark, sf_dir)).drop("source")
+
+
+def op3_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents."""
+    from graphloom.llm.pii_crf import personal_data
+
+    return personal_data(_docs(spark, sf_dir))
+
+
 def op4_chosen_path_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents."""
     from graphloom.llm.chosen_path import near_duplicates
@@ -43,7 +57,7 @@ def op9_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(_docs(spark, sf_dir)).drop("detections")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_chosen_path_near_dedup, op5_line_frequency_quality, op8_toxicity_chain, op9_license_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_subset_sum_mix, op3_skip_chain_pii, op4_chosen_path_near_dedup, op5_line_frequency_quality, op8_toxicity_chain, op9_license_rules)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORD = r"'[^\x20\x09-\x0D]+'"
