@@ -19,6 +19,20 @@ def op1_subset_sum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(_docs(spark, sf_dir)).drop("source")
 
 
+def op2_repair_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, number and checksum of every document's ids, as read back from the written shards."""
+    import uuid
+
+    import public_tokenizers
+
+    from graphloom.llm.cluster import shared_dir
+    from graphloom.llm.repair_ids import read_shards, write_shards
+
+    path = f"{shared_dir(spark)}/graphloom/token-shards-{uuid.uuid4().hex}"
+    write_shards(_docs(spark, sf_dir), path, public_tokenizers.path("word_bpe_49k.json"))
+    return read_shards(spark, path, digest=True)
+
+
 def op3_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in all documents."""
     from graphloom.llm.pii_crf import personal_data
@@ -41,6 +55,13 @@ def op5_line_frequency_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts.drop("host")
 
 
+def op6_piece_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number and checksum of every document's piece ids, and whether they decode to the text."""
+    from graphloom.llm.piece_transducer import digests
+
+    return digests(_docs(spark, sf_dir))
+
+
 def op8_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Poor-quality and toxicity probabilities of all documents, and the verdict."""
     from graphloom.llm.toxicity_chain import THRESHOLD, standard_chain
@@ -57,7 +78,14 @@ def op9_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(_docs(spark, sf_dir)).drop("detections")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_subset_sum_mix, op3_skip_chain_pii, op4_chosen_path_near_dedup, op5_line_frequency_quality, op8_toxicity_chain, op9_license_rules)}
+def op10_multi_index_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest codes, of all, to those whose id 20 divides."""
+    from graphloom.llm.mih_topk import top_k
+
+    return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("id") % 20 == 0)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_subset_sum_mix, op2_repair_token_ids, op3_skip_chain_pii, op4_chosen_path_near_dedup, op5_line_frequency_quality, op6_piece_transducer, op8_toxicity_chain, op9_license_rules, op10_multi_index_top_k)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORD = r"'[^\x20\x09-\x0D]+'"
@@ -104,4 +132,13 @@ judged AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base
 SELECT *, NOT base_failed AND n_words - removed_words >= 10 AND n_words - removed_words >= n_words * 0.3 AS kept FROM judged
 """
 
-ORACLES: dict[str, str] = {"op4_chosen_path_near_dedup": _OP4, "op5_line_frequency_quality": _OP5}
+_OP10 = """
+WITH codes AS (
+  SELECT vec_id, array_to_string(list_transform(embedding, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '')::BIT AS code
+  FROM embeddings WHERE embedding IS NOT NULL),
+pairs AS (SELECT q.vec_id AS query_id, c.vec_id AS neighbour_id, bit_count(xor(q.code, c.code))::INTEGER AS distance FROM codes q, codes c WHERE q.vec_id % 20 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbour_id)::INTEGER AS rank FROM pairs)
+SELECT query_id, rank, neighbour_id, distance FROM ranked WHERE rank <= 10
+"""
+
+ORACLES: dict[str, str] = {"op4_chosen_path_near_dedup": _OP4, "op5_line_frequency_quality": _OP5, "op10_multi_index_top_k": _OP10}
