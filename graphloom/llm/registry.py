@@ -62,6 +62,13 @@ def op6_piece_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(_docs(spark, sf_dir))
 
 
+def op7_context_mixing_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram base and context-mixing scores of all documents."""
+    from graphloom.llm.context_mixing import lm_scores
+
+    return lm_scores(_docs(spark, sf_dir))
+
+
 def op8_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Poor-quality and toxicity probabilities of all documents, and the verdict."""
     from graphloom.llm.toxicity_chain import THRESHOLD, standard_chain
@@ -85,7 +92,7 @@ def op10_multi_index_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("id") % 20 == 0)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_subset_sum_mix, op2_repair_token_ids, op3_skip_chain_pii, op4_chosen_path_near_dedup, op5_line_frequency_quality, op6_piece_transducer, op8_toxicity_chain, op9_license_rules, op10_multi_index_top_k)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_subset_sum_mix, op2_repair_token_ids, op3_skip_chain_pii, op4_chosen_path_near_dedup, op5_line_frequency_quality, op6_piece_transducer, op7_context_mixing_lm, op8_toxicity_chain, op9_license_rules, op10_multi_index_top_k)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORD = r"'[^\x20\x09-\x0D]+'"
