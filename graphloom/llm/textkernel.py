@@ -22,6 +22,9 @@ _FOLD[65:91] = _BYTE[97:123]
 _STEP = _SEED.integers(1, 2**63, 5, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SPACE = np.zeros(256, np.uint8)
 SPACE[[32, 9, 10, 11, 12, 13]] = 1
+#: Parts words of letters: all of ASCII but letters.
+NO_LETTER = np.ones(256, np.uint8)
+NO_LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 0
 SYMBOL = np.zeros(256, np.int64)
 SYMBOL[[ord(c) for c in "#*$%&|<>"]] = 1
 CHUNK = 1 << 20
@@ -49,27 +52,28 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Words:
-    """The words of a list of texts: ``starts``/``ends`` in ``blob``, ``first[i]:first[i+1]`` are text i's."""
+    """The words of a list of texts, parted where ``parts`` is 1: ``starts``/``ends`` in ``blob``, ``first[i]:first[i+1]`` are text i's."""
 
-    def __init__(self, texts: list[bytes], fold: bool = True):
+    def __init__(self, texts: list[bytes], fold: bool = True, parts: np.ndarray = SPACE):
         raw = b" ".join(texts) + b" " if texts else b""
         self.blob = np.frombuffer(raw, np.uint8)
         self.text_at = np.concatenate([[0], np.cumsum([len(x) + 1 for x in texts])]).astype(np.int64)
-        space = SPACE[self.blob].view(np.int8)
+        space = parts[self.blob].view(np.int8)
         turn = np.diff(space, prepend=np.int8(1))
         self.starts, self.ends = np.flatnonzero(turn == -1), np.flatnonzero(turn == 1)
         self.first = np.searchsorted(self.starts, self.text_at)
         self.fold = fold
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word."""
+    def hashes(self, *most: int) -> np.ndarray:
+        """A 64-bit hash of each word; with numbers, for each a row of hashes of the words' first so many bytes."""
         up, down = _powers(len(self.blob))
         run = (_FOLD if self.fold else _BYTE)[self.blob]
         run *= up
         total = np.zeros(len(run) + 1, np.uint64)
         np.cumsum(run, out=total[1:])
-        h = (total[self.ends] - total[self.starts]) * down[self.starts]
-        return mix(h ^ (self.ends - self.starts).astype(np.uint64))
+        cut = [np.minimum(self.ends, self.starts + n) for n in most] or [self.ends]
+        rows = [mix(((total[e] - total[self.starts]) * down[self.starts]) ^ (e - self.starts).astype(np.uint64)) for e in cut]
+        return np.stack(rows) if most else rows[0]
 
     def windows(self) -> np.ndarray:
         """A hash of the five words from each word on; windows that leave their text have no meaning."""
