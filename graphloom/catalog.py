@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.plans import graphs, relational  # noqa: F401
+from graphloom.plans import graphs, relational, retrieval  # noqa: F401
 from graphloom.plans.book import ORACLES, QUERIES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The query that ``entry`` runs."""
-    return QUERIES["agg_degrees"](spark, sf_dir)
+    return QUERIES["s_hybrid_graph"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
