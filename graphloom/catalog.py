@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.plans import graphs, relational, retrieval  # noqa: F401
+from graphloom.plans import graphs, money, relational, retrieval, streams  # noqa: F401
 from graphloom.plans.book import ORACLES, QUERIES
 
 
