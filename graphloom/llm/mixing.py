@@ -41,13 +41,12 @@ def _size(text: str) -> Column:
 
 def _ranked(sources: DataFrame) -> DataFrame:
     """Sources with their weights: ranks by range partitions, so no task sorts them all."""
-    spark = sources.sparkSession
     rows = saved(sources.repartitionByRange(8, F.col("source").asc_nulls_last()).sortWithinPartitions(F.col("source").asc_nulls_last()).withColumn("part", F.spark_partition_id()), "sources")
-    sizes = {r["part"]: r["n"] for r in rows.groupBy("part").agg(F.count("*").alias("n")).collect()}
-    at = np.cumsum([0, *[sizes.get(k, 0) for k in range(8)]])
-    offset = F.element_at(F.array(*[F.lit(int(x)) for x in at[:-1]]), F.col("part") + 1)
-    rank = F.row_number().over(W.partitionBy("part").orderBy(F.col("source").asc_nulls_last())) - 1 + offset
-    return rows.withColumn("weight", (rank % 3 + 1).cast("double")).drop("part")
+    sizes = sorted((r["part"], r["n"]) for r in rows.groupBy("part").agg(F.count("*").alias("n")).collect())  # a row for each partition
+    starts = np.cumsum([0, *[n for _, n in sizes]])
+    before = sources.sparkSession.createDataFrame([(p, int(x)) for (p, _), x in zip(sizes, starts[:-1], strict=True)], "part int, before long")
+    rank = F.row_number().over(W.partitionBy("part").orderBy(F.col("source").asc_nulls_last())) - 1 + F.col("before")
+    return rows.join(F.broadcast(before), "part").withColumn("weight", (rank % 3 + 1).cast("double")).drop("part", "before")
 
 
 def targets(sources: DataFrame) -> DataFrame:
