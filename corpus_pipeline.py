@@ -21,9 +21,9 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near duplicates."""
-    kept = chosen_path.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id"))
-    return docs.join(kept, docs["doc_id"] == kept["_id"], "left_semi")
+    """One document, that of the smallest id, of each group of near duplicates; rows without an id stay."""
+    gone = chosen_path.near_duplicates(docs).where("not kept and doc_id is not null").select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["_id"], "left_anti")
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -175,11 +175,11 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), _size(text_col).alias("size"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("h"))
     plan = _planned(saved(rows, "sizes").withColumn("source", F.concat(F.lit("="), "source")), kind)
     # Rows of one id, text and source are the same; how often they are taken together is what counts.
-    share = plan.groupBy("h", F.col("doc_id").alias("_id")).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
+    share = plan.groupBy(F.col("h").alias("_h"), F.col("doc_id").alias("_id")).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
     wanted = saved(share.where(F.col("_copies") > 0), "taken")
     h = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
-    found = docs.join(wanted, (h == wanted["h"]) & F.col(id_col).eqNullSafe(wanted["_id"]))
-    one = F.row_number().over(W.partitionBy("_id", "h").orderBy(F.lit(0)))
+    found = docs.join(wanted, (h == wanted["_h"]) & F.col(id_col).eqNullSafe(wanted["_id"]))
+    one = F.row_number().over(W.partitionBy("_id", "_h").orderBy(F.lit(0)))
     even = F.floor(F.col("_copies") / F.col("_rows")).cast("int")
     if wanted.where("_rows > 1").limit(1).count():
         copies = even + (one <= F.col("_copies") % F.col("_rows")).cast("int")
