@@ -32,7 +32,7 @@ from pyspark.sql import Window as W
 from graphloom.llm.cluster import private, saved, ship
 
 #: Codes and queries in a block; queries that are probed at a time; salts of a code's ids.
-CODES, QUERIES, PROBED, SALTS = 16_384, 4_096, 512, 32
+CODES, QUERIES, PROBED, SALTS = 65_536, 2_048, 256, 32
 _BITS = np.array([bin(i).count("1") for i in range(1 << 16)], np.uint8)
 
 
@@ -71,19 +71,27 @@ def search(codes: np.ndarray, queries: np.ndarray, weight: np.ndarray, k: int) -
     table = [np.concatenate([[0], np.cumsum(np.bincount(codes[:, j], minlength=1 << 16))]) for j in range(m)]
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-    def verified(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-        return _BITS[queries[q] ^ codes[c]].sum(axis=1, dtype=np.int64)
-
     for at in range(0, len(queries), PROBED):
         live = np.arange(at, min(at + PROBED, len(queries)))
-        near = np.zeros((len(queries[at : at + PROBED]), 16 * m + 1), np.int64)  # ids by distance
-        have = [np.zeros(0, np.int64)]
+        near = np.zeros((len(live), 16 * m + 1), np.int64)  # ids by distance
+        seen = np.zeros((len(live), n), bool)
+
+        def take(q: np.ndarray, c: np.ndarray, at: int = at, near: np.ndarray = near, seen: np.ndarray = seen) -> None:
+            """Verify the candidates that are new to their query."""
+            new = ~seen[q - at, c]
+            q, c = q[new], c[new]
+            seen[q - at, c] = True
+            d = _BITS[queries[q] ^ codes[c]].sum(axis=1, dtype=np.int64)
+            np.add.at(near, (q - at, d), weight[c])
+            close = d <= (np.cumsum(near, axis=1) < k).sum(axis=1)[q - at]  # farther ones can't be among the k nearest
+            found.append((q[close], c[close], d[close]))
+
         r = 0
         while len(live):
             masks = _masks(r)
             if len(masks) * 4 >= n or r > 16:
-                q, c = np.repeat(live, n), np.tile(np.arange(n), len(live))
-                found.append((q, c, verified(q, c)))
+                for x in live:
+                    take(np.full(n, x), np.arange(n))
                 break
             for j in range(m):
                 value = queries[live, j][:, None].astype(np.int64) ^ masks[None, :]
@@ -91,13 +99,7 @@ def search(codes: np.ndarray, queries: np.ndarray, weight: np.ndarray, k: int) -
                 total = size.sum()
                 if total:
                     q = np.repeat(np.repeat(live, len(masks)), size)
-                    c = order[j][np.arange(total) - np.repeat(np.cumsum(size) - size, size) + np.repeat(lo, size)]
-                    key = np.setdiff1d(q * n + c, have[0])
-                    have[0] = np.union1d(have[0], key)
-                    q, c = key // n, key % n
-                    d = verified(q, c)
-                    found.append((q, c, d))
-                    np.add.at(near, (q - at, d), weight[c])
+                    take(q, order[j][np.arange(total) - np.repeat(np.cumsum(size) - size, size) + np.repeat(lo, size)])
                 done = near[live - at, : m * r + j + 1].sum(axis=1) >= k
                 live = live[~done]
                 if not len(live):
@@ -105,9 +107,7 @@ def search(codes: np.ndarray, queries: np.ndarray, weight: np.ndarray, k: int) -
             r += 1
     if not found:
         return (np.zeros(0, np.int64),) * 3
-    q, c, d = (np.concatenate(x) for x in zip(*found, strict=True))
-    _, first = np.unique(q * n + c, return_index=True)
-    return q[first], c[first], d[first]
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def _block_search(k: int):
