@@ -7,7 +7,7 @@ the inverse of the similarity sought), and a class goes to the child that its
 minwise value at that place names.  Pairs of sets of similarity s meet in a
 child with probability at least s, unequal ones soon part.  Small nodes are
 compared pair by pair.  Large nodes are compared with a few leaders and branch
-on, until they are small or all their members are linked already, so a large
+on, three generations at a time, until they are small or all their members are linked already, so a large
 group of near copies costs rows in proportion to its size and no more.  No
 node is cut off: what is left at the last level goes through the remaining
 pairs in different components block by block.
@@ -33,14 +33,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from graphloom.llm.cluster import dropped, private, saved, ship
+from graphloom.llm.cluster import dropped, private, saved, ship, swept
 from graphloom.llm.textkernel import Words, as_bytes, chunks, mix, short
 
 #: Similarity sought, in hundredths; signature places; trees; members of a node that is compared exhaustively.
 SIMILAR, PLACES, TREES, SMALL = 75, 96, 18, 12
-#: Leaders with which members of a large node are compared, levels of branching, and the signature
-#: agreement under which a pair is not confirmed: at similarity 0.75 and 96 places six deviations below.
-LEADERS, LEVELS, LEAST_AGREE = 3, 8, 0.5
+#: Leaders with which members of a large node are compared, rounds of comparison, generations of
+#: branching between two rounds, and the signature agreement under which a pair is not confirmed: at similarity 0.75 and 96 places six deviations below.
+LEADERS, LEVELS, DESCENT, LEAST_AGREE = 2, 5, 3, 0.5
+#: Pairs a class (on average) up to which nodes that are left are compared at once.
+FEW = 2
 #: Candidate ids up to this many are broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 
@@ -137,17 +139,19 @@ def _chosen(node: np.ndarray) -> np.ndarray:
 
 
 def _children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Descendants by ``DESCENT`` generations."""
     for batch in batches:
         if not batch.num_rows:
             continue
         sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(-1, PLACES)
-        node = batch.column("node").to_numpy().view(np.uint64)
-        cls, place = batch.column("cls").to_numpy(), _chosen(node)
-        for k in (0, 1):
-            at = np.flatnonzero(place[:, k] >= 0)
-            value = sig[at, place[at, k]].astype(np.uint64)
-            child = mix(mix(node[at] + value) ^ place[at, k].astype(np.uint64)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(child), pa.array(cls[at])], names=["node", "cls"])
+        node, row = batch.column("node").to_numpy().view(np.uint64), np.arange(batch.num_rows)
+        for _ in range(DESCENT):
+            place = _chosen(node)
+            owner, k = np.nonzero(place >= 0)
+            at = place[owner, k]
+            node = mix(mix(node[owner] + sig[row[owner], at]) ^ at.astype(np.uint64))
+            row = row[owner]
+        yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(batch.column("cls").to_numpy()[row])], names=["node", "cls"])
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -186,8 +190,9 @@ class _Join:
 
     def __init__(self, texts: DataFrame, sigs: DataFrame, classes: DataFrame):
         self.texts, self.classes = texts, classes
-        self.links = self.comp = self.sets = None
+        self.links = self.comp = self.sets = self.tested = None
         self.made: list[DataFrame] = []
+        self.size = classes.count()
         rows = sigs.where("mark is not null").agg(F.count("*").alias("n"), F.approx_count_distinct(F.xxhash64("key", "mark"), 0.01).alias("d")).first()
         self.repeats = rows["d"] < 0.97 * rows["n"] if rows["n"] > 5000 else True
 
@@ -202,26 +207,30 @@ class _Join:
         """Confirm candidate pairs on full sets and add the links they make.
 
         First each class with its smallest partner, which links most groups;
-        then all the pairs whose ends are still apart.
+        then the pairs whose ends are still apart as far as one hop shows.
         """
         brief = self.classes.select("cls", "brief")
-        near = self.apart(pairs.distinct()).join(brief.toDF("a", "ga"), "a").join(brief.toDF("b", "gb"), "b").select("a", "b", "ga", "gb")
+        fresh = pairs.distinct() if self.tested is None else pairs.distinct().join(self.tested, ["a", "b"], "left_anti")
+        near = self.apart(fresh).join(brief.toDF("a", "ga"), "a").join(brief.toDF("b", "gb"), "b").select("a", "b", "ga", "gb")
         todo = saved(near.mapInArrow(_agreeing, "a long, b long"), "candidates")
         sets = self._sets_of(todo.select("a").union(todo.select("b")).distinct().toDF("cls"))
-        for last in (False, True):
-            now = todo if last else todo.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-            joined = now.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
-            new = saved(joined.mapInArrow(_confirm, "a long, b long, ok boolean").where("ok").select("a", "b"), "confirmed")
-            if new.limit(1).count():
-                self.links = new if self.links is None else self.links.union(new)
-                self.comp = components(self.links)
-            if not last:
-                left = saved(self.apart(todo.join(now, ["a", "b"], "left_anti")), "candidates")
-                dropped(todo)
-                todo = left
-                if not todo.limit(1).count():
-                    break
+
+        def confirmed(some: DataFrame) -> DataFrame:
+            joined = some.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
+            return saved(joined.mapInArrow(_confirm, "a long, b long, ok boolean"), "confirmed")
+
+        first = confirmed(todo.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+        hop = first.where("ok").select("a", "b")
+        rest = todo.join(first.select("a", "b"), ["a", "b"], "left_anti")
+        rest = rest.join(hop.toDF("ha", "b"), "b", "left").join(hop.toDF("hx", "a"), "a", "left").where(F.coalesce("ha", "b") != F.coalesce("hx", "a"))
+        second = confirmed(self.apart(rest.select("a", "b")))
+        new = hop.union(second.where("ok").select("a", "b"))
         dropped(todo)
+        tried = first.select("a", "b").union(second.select("a", "b"))
+        self.tested = tried if self.tested is None else self.tested.union(tried)
+        if new.limit(1).count():
+            self.links = new if self.links is None else self.links.union(new)
+            self.comp = components(self.links)
 
     def _sets_of(self, ids: DataFrame) -> DataFrame:
         """Shingle sets of classes, each made from one text; those made before are kept."""
@@ -240,9 +249,13 @@ class _Join:
             self.sets = made if self.sets is None else self.sets.union(made)
         return self.sets if self.sets is not None else need.select("cls", F.col("mark").alias("shingles"))
 
-    def level(self, nodes: DataFrame, last: bool) -> DataFrame | None:
-        """Compare the nodes of one level; returns the members of those that have to branch on."""
-        lead = [F.min(F.struct(F.xxhash64("cls", "node", F.lit(k)).alias("h"), F.col("cls"))).alias(f"lead{k}") for k in range(LEADERS)]
+    def level(self, nodes: DataFrame, number: int) -> DataFrame | None:
+        """Compare the nodes of one level; returns the members of those that have to branch on.
+
+        Leaders are smallest by a hash of the class alone, so the nodes of a
+        group of near copies mostly agree on them and name the same pairs.
+        """
+        lead = [F.min(F.struct(F.xxhash64("cls", F.lit(k), F.lit(number)).alias("h"), F.col("cls"))).alias(f"lead{k}") for k in range(LEADERS)]
         big = saved(nodes.groupBy("node").agg(F.count("*").alias("n"), *lead).where(F.col("n") > SMALL).select("node", *[f"lead{k}.cls" for k in range(LEADERS)]).toDF("node", *[f"lead{k}" for k in range(LEADERS)]), "big-nodes")
         many = big.count()
         names = (lambda d: F.broadcast(d)) if many <= BROADCAST_IDS // 10 else (lambda d: d)
@@ -260,10 +273,12 @@ class _Join:
         if not open_nodes:
             return None
         rest = comp.join(F.broadcast(mixed) if open_nodes <= BROADCAST_IDS // 10 else mixed, "node")
-        if not last:
+        share = saved(rest.groupBy("node", "comp").count(), "shares")
+        left = share.groupBy("node").agg(F.sum("count").alias("n"), F.max("count").alias("most")).agg(F.sum((F.col("n") - F.col("most")) * F.col("n"))).first()[0]
+        if number < LEVELS - 1 and left > FEW * self.size:
             return rest.select("node", "cls")
-        # What no level parted: every member outside the node's commonest component meets all of other components.
-        share = rest.groupBy("node", "comp").count()
+        # What is left to compare is few for the number of classes, or no level parted it: every
+        # member outside the node's commonest component meets all of other components.
         top = share.groupBy("node").agg(F.max_by("comp", F.struct("count", "comp")).alias("top"))
         stray = rest.join(top, "node").where("comp <> top").select("node", F.col("cls").alias("x"), F.col("comp").alias("cx"))
         met = stray.join(rest, "node").where("comp <> cx").select(F.least("cls", "x").alias("a"), F.greatest("cls", "x").alias("b"))
@@ -294,7 +309,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     join = _Join(texts, sigs, classes)
     nodes = _shared(classes.select("cls", "sig").mapInArrow(_root_children, "node long, cls long"))
     for level in range(LEVELS):
-        rest = join.level(nodes, level == LEVELS - 1)
+        rest = join.level(nodes, level)
+        swept(docs.sparkSession)
         if rest is None:
             break
         below = rest.join(classes.select("cls", "sig"), "cls").select("node", "cls", "sig").mapInArrow(_children, "node long, cls long")

@@ -8,6 +8,7 @@ any store, and a lost executor costs a task and no data.
 
 from __future__ import annotations
 
+import gc
 import os
 import shutil
 import tempfile
@@ -48,6 +49,12 @@ def dropped(*tables: DataFrame) -> None:
             where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def swept(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps, which it does when the driver's garbage goes."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once a session, so tasks can import it anywhere."""
     sc = spark.sparkContext
