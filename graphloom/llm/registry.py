@@ -148,4 +148,42 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance,
 SELECT query_id, rank, neighbour_id, distance FROM ranked WHERE rank <= 10
 """
 
-ORACLES: dict[str, str] = {"op4_chosen_path_near_dedup": _OP4, "op5_line_frequency_quality": _OP5, "op10_multi_index_top_k": _OP10}
+def _op9() -> str:
+    """The scan in SQL: words stand with a space on either side, so that neighbouring matches share none."""
+    from graphloom.llm.license_rules import BASE, BASE_SCORE, TRIGGERS, rules
+
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    doubled = lambda x: x.replace(" ?", "(?:@)?").replace(" ", "  ").replace("@", "  ")
+    table = ", ".join(f"({k}, {r[0]}, {quoted(r[1])}, {quoted(r[2])}, {quoted(' (' + doubled(r[3]) + ') ')}, {r[4]}::DOUBLE)" for k, r in enumerate(rules()))
+    places = " UNION ALL ".join(f"SELECT doc_id, {quoted(label)} AS label, i - 1 AS pos FROM (SELECT doc_id, w, unnest(range(1, len(w) - {phrase.count(' ') - 1})) AS i FROM d) WHERE w[i:i + {phrase.count(' ')}] = {phrase.split()}" for phrase, label in BASE.items())
+    live = " OR ".join(f"contains(norm, {quoted(t)})" for t in TRIGGERS)
+    return rf"""
+WITH t AS (SELECT doc_id, trim(regexp_replace({_LOWER}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g')) AS norm FROM documents),
+d AS (SELECT doc_id, norm, CASE WHEN norm = '' THEN [] ELSE string_split(norm, ' ') END AS w FROM t),
+rules(rule, priority, label, keyword, pattern, score) AS (VALUES {table}),
+places AS ({places}),
+marked AS (
+  SELECT doc_id, rule, priority, label, score, string_split(regexp_replace(' ' || replace(norm, ' ', '  ') || ' ', pattern, chr(1) || '\1' || chr(2), 'g'), chr(1)) AS parts
+  FROM (SELECT * FROM d WHERE {live}) JOIN rules ON contains(norm, keyword)),
+parts AS (SELECT doc_id, rule, priority, label, score, i, parts[i] AS part FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM marked WHERE len(parts) > 1)),
+sized AS (
+  SELECT *, CASE WHEN i = 1 THEN 0 ELSE (length(split_part(part, chr(2), 1)) - length(replace(split_part(part, chr(2), 1), ' ', ''))) // 2 + 1 END AS size,
+         CASE WHEN i = 1 THEN (length(part) - length(replace(part, ' ', ''))) // 2
+              ELSE (length(split_part(part, chr(2), 2)) - length(replace(split_part(part, chr(2), 2), ' ', ''))) // 2 END AS rest FROM parts),
+hits AS (
+  SELECT doc_id, rule, priority, label, score, i, a, a + size AS b
+  FROM (SELECT *, coalesce(sum(size + rest) OVER (PARTITION BY doc_id, rule ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM sized) WHERE i > 1),
+kept AS (
+  SELECT * FROM hits x WHERE NOT EXISTS (
+    SELECT 1 FROM hits y WHERE y.doc_id = x.doc_id AND y.a <= x.a AND y.b >= x.b
+    AND (y.priority < x.priority OR (y.priority = x.priority AND (y.b - y.a > x.b - x.a OR (y.b - y.a = x.b - x.a AND y.label < x.label)))))),
+base AS (SELECT doc_id, count(*) AS n, min(pos) AS lo, max(pos) AS hi, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM places GROUP BY doc_id),
+named AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM places UNION SELECT doc_id, label FROM kept) GROUP BY doc_id),
+best AS (SELECT doc_id, max(score) AS score FROM kept GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, lo AS first_word, hi AS last_word, coalesce(b.labels, '') AS base_labels, coalesce(x.labels, '') AS labels,
+       greatest(coalesce(s.score, 0), CASE WHEN n > 0 THEN {BASE_SCORE}::DOUBLE ELSE 0 END) AS score
+FROM d LEFT JOIN base b USING (doc_id) LEFT JOIN named x USING (doc_id) LEFT JOIN best s USING (doc_id)
+"""
+
+
+ORACLES: dict[str, str] = {"op4_chosen_path_near_dedup": _OP4, "op5_line_frequency_quality": _OP5, "op9_license_rules": _op9(), "op10_multi_index_top_k": _OP10}
