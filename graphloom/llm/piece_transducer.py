@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -38,7 +39,7 @@ from graphloom.llm.cluster import private, ship
 
 META = "▁"
 #: Parts whose ids a task keeps.
-CACHE = 500_000
+CACHE = 700_000
 
 
 class PieceTransducer:
@@ -60,11 +61,19 @@ class PieceTransducer:
             self.bytes[i] = self.piece[i].replace(META, " ").encode()
         for b, i in self.byte.items():
             self.bytes[i] = bytes([b])
+        self.tails: dict = {}  # pieces by their characters from the last one back
+        for p in self.id:
+            node = self.tails
+            for c in reversed(p):
+                node = node.setdefault(c, {})
+            node[""] = p
         joined = {p[k : k + 2] for p in self.id for k in range(len(p) - 1)}
         self.joined = joined
         # White space and meta symbols part texts quickly where no piece says otherwise.
         self.quick = not any("\n" in p for p in self.id) and not any(META in p.lstrip(META) for p in self.id)
-        self.side: dict[tuple[str, str], bool] = {}
+        self.side: dict[str, dict[str, bool]] = {}
+        self.alone: dict[str, bool] = {}
+        self.arcs = 0
         self.known: dict[str, bytes] = {}
         self.parts: dict[str, list[int]] = {}
 
@@ -83,66 +92,72 @@ class PieceTransducer:
 
     def allowed(self, a: str, b: str) -> bool:
         """Whether the arc from state a to piece b has weight zero."""
-        got = self.side.get((a, b))
+        row = self.side.get(a)
+        if row is None:
+            row = self.side[a] = {}
+        got = row.get(b)
         if got is None:
-            if a[-1] + b[0] not in self.joined:
-                got = True
-            else:
-                got = self.merged(a + b) == [a, b]
-            if len(self.side) > 2 * CACHE:
-                self.side.clear()
-            self.side[a, b] = got
+            got = row[b] = a[-1] + b[0] not in self.joined or self.merged(a + b) == [a, b]
+            self.arcs += 1
+        return got
+
+    def starts(self, p: str) -> bool:
+        """Whether merging makes this one piece of its own characters."""
+        got = self.alone.get(p)
+        if got is None:
+            got = self.alone[p] = self.merged(p) == [p]
         return got
 
     def _path(self, part: str) -> list[int]:
-        """Ids along the shortest path of a part whose characters all have pieces or bytes."""
-        n = len(part)
-        last: list[str | None] = [None] * (n + 1)
+        """Ids along the shortest path of a part; a character without a piece takes its bytes."""
+        n, ids = len(part), self.id
+        if part in ids and self.starts(part):
+            return [ids[part]]
+        last = [""] * (n + 1)
         for end in range(1, n + 1):
-            for start in range(max(0, end - self.longest), end):
-                p = part[start:end]
-                if p in self.id and (start == 0 or (last[start] is not None and (len(last[start]) == 0 or self.allowed(last[start], p)))):
-                    if start == 0 and self.merged_single(p) is False:
-                        continue
+            node, at, arcs = self.tails, end, []
+            while at:
+                node = node.get(part[at - 1])
+                if node is None:
+                    break
+                at -= 1
+                if "" in node:
+                    arcs.append((at, node[""]))
+            for start, p in reversed(arcs):
+                if self.starts(p) if not start else not last[start] or self.allowed(last[start], p):
                     last[end] = p
                     break
-            else:
-                last[end] = ""  # a character of the byte fallback
         out, at = [], n
         while at:
             p = last[at]
             if p:
-                out.append(self.id[p])
+                out.append(ids[p])
                 at -= len(p)
             else:
                 at -= 1
                 out += [self.byte[b] for b in reversed(part[at].encode())]
         return out[::-1]
 
-    def merged_single(self, p: str) -> bool:
-        """Whether merging makes this one piece of its own characters."""
-        key = ("", p)
-        got = self.side.get(key)
-        if got is None:
-            got = self.side[key] = self.merged(p) == [p]
-        return got
-
     def _segment(self, segment: str) -> bytes:
         """Ids of a segment, parted where no piece has the two neighbouring characters."""
         out: list[int] = []
-        at = 0
-        for k in range(1, len(segment) + 1):
-            if k == len(segment) or segment[k - 1 : k + 1] not in self.joined:
-                part = segment[at:k]
-                ids = self.parts.get(part)
-                if ids is None:
-                    ids = self.parts[part] = self._path(part)
-                out += ids
-                at = k
-        got = np.array(out, "<u4").tobytes()
+        joined, at, end = self.joined, 0, len(segment)
+        cuts = [k for k in range(1, end) if segment[k - 1 : k + 1] not in joined]
+        for k in [*cuts, end]:
+            part = segment[at:k]
+            ids = self.parts.get(part)
+            if ids is None:
+                ids = self.parts[part] = self._path(part)
+            out += ids
+            at = k
+        got = array("I", out).tobytes()
         if len(self.known) > CACHE:
             self.known.clear()
+        if len(self.parts) > CACHE:
             self.parts.clear()
+        if self.arcs > 2 * CACHE:
+            self.side.clear()
+            self.arcs = 0
         self.known[segment] = got
         return got
 
