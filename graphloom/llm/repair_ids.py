@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -38,7 +39,7 @@ BLOCK, FREQUENT, RULES, ROUNDS = 1 << 20, 24, 1024, 8
 #: Text bytes in a shard (about) and shards at most.
 SHARD_BYTES, SHARDS = 16 << 20, 4096
 #: Words whose ids a task keeps.
-CACHE = 400_000
+CACHE = 900_000
 END = 1
 
 
@@ -60,7 +61,7 @@ class WordTokenizer:
         self.known: dict[str, bytes] = {"": b""}
         self.cores: dict[str, bytes] = {}
         self.size = self.whole.get_vocab_size()
-        self.kind = np.uint16 if self.size <= 0xFFFF else np.uint32
+        self.kind, self.code = (np.uint16, "H") if self.size <= 0xFFFF else (np.uint32, "I")
         self.letters = self._byte_letters()
 
     @staticmethod
@@ -74,20 +75,23 @@ class WordTokenizer:
         """Ids of a word without ASCII punctuation at its end."""
         got = self.cores.get(core)
         if got is None:
-            if core.isalpha() and all(c < "ƀ" and c != "İ" for c in core):
-                folded = unicodedata.normalize("NFC", core).lower()
-                ids = [t.id for t in self.model.tokenize("".join(map(self.letters.__getitem__, folded.encode())))]
+            if core.isalpha() and (core.isascii() or (max(core) < "ƀ" and "İ" not in core)):
+                folded = core.lower()
+                if not core.isascii():
+                    folded = unicodedata.normalize("NFC", folded)
+                    folded = "".join(map(self.letters.__getitem__, folded.encode()))
+                ids = [t.id for t in self.model.tokenize(folded)]
             else:
                 ids = self.whole.encode(core, add_special_tokens=False).ids
-            got = self.cores[core] = np.array(ids, self.kind).tobytes()
+            got = self.cores[core] = array(self.code, ids).tobytes()
         return got
 
     def _word(self, word: str) -> bytes:
         core = word.rstrip(".,;:!?|#$%&*")
-        if core != word and core and core[-1].isalpha() and core[-1].isascii():
-            out = self._core(core) + self._core(word[len(core) :])
-        else:
+        if core == word or not core or not core[-1].isalpha() or not core[-1].isascii():
             out = self._core(word)
+        else:
+            out = self._core(core) + self._core(word[len(core) :])
         self.known[word] = out
         return out
 
@@ -95,12 +99,13 @@ class WordTokenizer:
         """The ids of a text, little-endian."""
         words = text.replace("\n", " ").split(" ")
         known = self.known
-        for w in {w for w in words if w not in known}:
+        for w in set(words).difference(known):
             self._word(w)
-        out = b"".join([known[w] for w in words])
+        out = b"".join(map(known.__getitem__, words))
         if len(known) > CACHE:
             known.clear()
             known[""] = b""
+        if len(self.cores) > CACHE // 2:
             self.cores.clear()
         return out
 
@@ -222,7 +227,8 @@ def _writer(base: int, word: type, key_type: pa.DataType, block: int) -> Callabl
             _, starts = expansions(left, right, base)
             width = 2 if base + len(left) < 1 << 16 else 4
             keys = [k for k, _ in held]
-            row = [shard, number, keys[0], keys[-1], start, sum(counts), base, keys, counts, places.tolist(), left.astype("<u4").tobytes(), right.astype("<u4").tobytes(), np.diff(starts).astype("<u4").tobytes(), width, seq.astype(f"<u{width}").tobytes()]
+            named = [k for k in keys if k is not None] or [None]
+            row = [shard, number, named[0], named[-1], start, sum(counts), base, keys, counts, places.tolist(), left.astype("<u4").tobytes(), right.astype("<u4").tobytes(), np.diff(starts).astype("<u4").tobytes(), width, seq.astype(f"<u{width}").tobytes()]
             kinds = [pa.int32(), pa.int32(), key_type, key_type, pa.int64(), pa.int64(), pa.int64(), pa.list_(key_type), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.binary()]
             names = [x.split()[0] for x in _block_schema("x").split(", ")]
             number, start, held, size = number + 1, start + sum(counts), [], 0
