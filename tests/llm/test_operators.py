@@ -334,6 +334,20 @@ def test_mixer_learns_and_is_a_distribution(spark, sf):
     assert 0.0 < (2.0**-one).sum() <= 1.001
 
 
+def test_contexts_are_full_and_rare_bytes_are_learnt(spark):
+    import pyarrow as pa
+
+    flat = np.random.default_rng(3).integers(0, 256, 300_000, dtype=np.uint8).tobytes()
+    made = list(context_mixing.Tree(np.ones(256, np.int64), 1).contexts([flat])[1])
+    assert len(np.unique(made[3])) == len({flat[max(0, i - 4) : i] for i in range(len(flat) + 1)})  # no two share a slot
+    line = "".join(chr(0x100 + 7 * i) for i in range(180))  # 140 bytes and more, none of them common
+    df = spark.createDataFrame([(i, line) for i in range(60)], "doc_id long, text string")
+    assert context_mixing.lm_scores(df).agg(F.max("bits_per_byte")).first()[0] < 1.0
+    tree = context_mixing.Tree(np.bincount(np.frombuffer(line.encode(), np.uint8), minlength=256), 1)
+    rows = pa.Table.from_batches(list(context_mixing._count_contexts(tree)(iter([pa.RecordBatch.from_arrays([pa.array([line])], names=["text"])]))))
+    assert set(rows["model"].to_pylist()) == {0, 1, 2, 3, 4}
+
+
 # ---- toxicity ---------------------------------------------------------------------------------
 
 
