@@ -348,6 +348,26 @@ def test_contexts_are_full_and_rare_bytes_are_learnt(spark):
     assert set(rows["model"].to_pylist()) == {0, 1, 2, 3, 4}
 
 
+def test_mixing_starts_trained_and_learns_in_short_texts(spark, sf, monkeypatch):
+    import pyarrow as pa
+
+    texts = [r["text"].encode() for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
+    train, test = texts[:150], [t[:300] for t in texts[150:]]
+    tree = context_mixing.Tree(np.bincount(np.frombuffer(b"".join(train), np.uint8), minlength=256), len(train))
+    counts = pa.Table.from_batches(list(context_mixing._count_contexts(tree)(iter([pa.RecordBatch.from_arrays([pa.array([t.decode() for t in train])], names=["text"])])))).to_pandas()
+    pieces = [x for _, g in counts.groupby(["model", "piece"]) for x in context_mixing._logits(tree)(g).itertuples(index=False)]
+    plain = context_mixing.Mixer(tree, pieces)
+    trained = context_mixing.Mixer(tree, pieces, context_mixing.Start(plain.fit(train)))
+    assert trained.bits(test).sum() < plain.bits(test).sum()
+    live = trained.bits(test)
+    monkeypatch.setattr(context_mixing, "RATE", 0.0)
+    still = trained.bits(test)
+    assert (np.abs(live - still) > 1e-3).mean() > 0.9  # also texts under 512 bytes are learnt from as they go
+    # The parts of the training texts add up, in whatever order.
+    halves = plain.fit(train[75:]) + plain.fit(train[:75])
+    assert np.allclose(context_mixing.Start(halves).weights, trained.start.weights, atol=0.1)
+
+
 # ---- toxicity ---------------------------------------------------------------------------------
 
 
