@@ -25,11 +25,11 @@ from graphloom.llm.cluster import private
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 BASE_SCORE = 0.6
 
-#: Families: label, name in words as a pattern, keyword, versions (fixed values).
+#: Families: label, name in words as a pattern, keyword that every match has, versions (fixed values).
 FAMILIES = [
-    ("agpl", r"(?:gnu )?(?:affero general public licen[cs]e|agpl)", "a", ("1 0", "3 0")),
-    ("lgpl", r"(?:gnu )?(?:(?:lesser|library) general public licen[cs]e|lgpl)", "l", ("2 0", "2 1", "3 0")),
-    ("gpl", r"(?:gnu )?(?:general public licen[cs]e|gpl)", "g", ("1 0", "2 0", "3 0")),
+    ("agpl", r"(?:gnu )?(?:affero general public licen[cs]e|agpl)", "", ("1 0", "3 0")),
+    ("lgpl", r"(?:gnu )?(?:(?:lesser|library) general public licen[cs]e|lgpl)", "", ("2 0", "2 1", "3 0")),
+    ("gpl", r"(?:gnu )?(?:general public licen[cs]e|gpl)", "", ("1 0", "2 0", "3 0")),
     ("gfdl", r"(?:gnu )?free documentation licen[cs]e", "free documentation", ("1 1", "1 2", "1 3")),
     ("apache", r"apache(?: software)?(?: foundation)? licen[cs]e", "apache", ("1 0", "1 1", "2 0")),
     ("mpl", r"mozilla public licen[cs]e", "mozilla", ("1 0", "1 1", "2 0")),
@@ -61,7 +61,7 @@ PLAIN = [
     ("isc", r"(?:the )?isc licen[cs]e", "isc licen"),
     ("isc", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "with or without fee"),
     ("zlib", r"zlib(?: libpng)? licen[cs]e", "zlib"),
-    ("unlicense", r"the unlicense|this is free and unencumbered software released into the public domain", "unlicen"),
+    ("unlicense", r"the unlicense", "unlicen"),
     ("unlicense", r"this is free and unencumbered software released into the public domain", "unencumbered"),
     ("public-domain", r"(?:released|placed|dedicated|is) (?:in|into|to) the public domain", "public domain"),
     ("cc0", r"cc0(?: 1 0)?(?: universal)?", "cc0"),
@@ -80,7 +80,7 @@ PLAIN = [
     ("reserved", r"all rights (?:are )?reserved", "rights"),
 ]
 #: A text meets the rules if it has one of these; every rule needs one of them to match.
-TRIGGERS = ("licen", "gpl", "cc by", "cc0", "creative commons", "spdx", "rights", "copyright", "public domain", "without warranty", "with or without", "permission is hereby")
+TRIGGERS = ("licen", "gpl", "bsd", "cc by", "cc attribution", "cc0", "creative commons", "spdx", "rights", "copyright", "public domain", "without warranty", "with or without", "permission is hereby")
 _UNDER = r"(?:(?:is |are )?(?:licen[cs]ed|released|distributed|published|available|covered) under (?:the )?(?:terms of (?:the )?)?)?"
 _BY = (("by", "by|attribution"), ("by-sa", "by sa|attribution share ?alike"), ("by-nd", "by nd|attribution no ?derivs"), ("by-nc", "by nc|attribution non ?commercial"), ("by-nc-sa", "by nc sa|attribution non ?commercial share ?alike"), ("by-nc-nd", "by nc nd|attribution non ?commercial no ?derivs"))
 
@@ -89,9 +89,8 @@ def rules() -> list[tuple[int, str, str, str, float]]:
     """(priority, label, keyword, pattern, score) of every rule, built from the families above."""
     out = []
     for label, name, keyword, versions in FAMILIES:
-        keyword = {"a": "affero", "l": "", "g": "", "": ""}.get(keyword, keyword)
         for v in versions:
-            number = rf"(?: (?:version|v))? v?{v.replace(' 0', '(?: 0)?')}"
+            number = rf"(?:(?: (?:version|v))? v?|v){v.replace(' 0', '(?: 0)?')}"
             dotted = f"{label}-{v.replace(' ', '.')}"
             out.append((0, dotted, "spdx", rf"spdx license identifier {label} {v}(?: only)?", 1.0))
             out.append((0, f"{dotted}-or-later", "spdx", rf"spdx license identifier {label} {v} or later", 1.0))

@@ -437,6 +437,51 @@ def test_license_rules(spark, docs):
     assert license_rules.license_scan(cases.empty(spark)).count() == 0
 
 
+def alternatives(parsed):
+    """Strings of a pattern that take every branch of it, one at a time."""
+    parts = []
+    for op, arg in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            parts.append([chr(arg)])
+        elif name == "IN":
+            parts.append([chr(x if str(kind) == "LITERAL" else x[0]) for kind, x in arg])
+        elif name == "MAX_REPEAT":
+            parts.append([*([""] if arg[0] == 0 else []), *[x * max(arg[0], 1) for x in alternatives(arg[2])]])
+        elif name == "SUBPATTERN":
+            parts.append(alternatives(arg[3]))
+        else:
+            assert name == "BRANCH"
+            parts.append([x for branch in arg[1] for x in alternatives(branch)])
+    first = [p[0] for p in parts]
+    return list(dict.fromkeys("".join([*first[:k], x, *first[k + 1 :]]) for k, p in enumerate(parts) for x in p))
+
+
+def test_license_gates_drop_nothing(spark, monkeypatch):
+    from re import _parser
+
+    texts = []
+    for _, label, word, pattern, _ in license_rules.rules():
+        for x in alternatives(_parser.parse(pattern)):
+            assert re.fullmatch(pattern, x)
+            assert word in x and any(t in x for t in license_rules.TRIGGERS), (label, x)
+            texts.append(x)
+    df = spark.createDataFrame([(i, f"some {x} words") for i, x in enumerate(dict.fromkeys(texts[::7]))], "doc_id long, text string").repartition(8).cache()
+    gated = sorted(license_rules.license_scan(df).collect())
+    assert all(r["labels"] for r in gated)
+    plain = [(*r[:2], "", *r[3:]) for r in license_rules.rules()]
+    monkeypatch.setattr(license_rules, "TRIGGERS", ("",))
+    monkeypatch.setattr(license_rules, "rules", lambda: plain)
+    assert gated == sorted(license_rules.license_scan(df).collect())
+
+
+def test_license_names_without_gates_or_space(spark):
+    texts = {"Licensed under AGPL-3.0": "agpl-3.0", "Released under the BSD 3-Clause terms": "bsd-3-clause", "CC Attribution-ShareAlike 4.0": "cc-by-sa-4.0", "under GPLv3": "gpl-3.0", "LGPLv2.1 only": "lgpl-2.1-only", "AGPLv3 or later": "agpl-3.0-or-later"}
+    df = spark.createDataFrame(list(texts.items()), "text string, doc_id string")
+    got = {r["doc_id"]: r["labels"] for r in license_rules.license_scan(df).collect()}
+    assert got == {x: x for x in texts.values()}
+
+
 # ---- top-k -------------------------------------------------------------------------------------------
 
 
