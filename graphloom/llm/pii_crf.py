@@ -4,8 +4,9 @@ Base patterns find e-mail addresses, IPv4 addresses, payment cards and phone
 numbers.  The field then labels the remaining tokens that have a digit or an
 at-sign; all other tokens are outside any entity.  Its potentials:
 
-* a token's shape (runs of digits, letters and other characters, whether it is
-  part of a base match that failed its check) says how likely each label is;
+* a token's shape (all its runs of digits, letters and other characters, whether
+  it is part of a base match that failed its check) says how likely each label
+  is; shapes too rare for the table share one row, their mean;
 * labels of neighbouring tokens of this kind share a transition potential;
 * distant tokens that repeat each other, or have the same digits, share a skip
   potential, so what is known to be a phone number in one place is one in the
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.cluster import private, ship
+from graphloom.llm.cluster import private, saved, ship
 
 #: Kinds in the order in which spans are listed; label 0 of the field is "outside".
 KINDS = ("email", "ip", "card", "phone")
@@ -48,8 +49,10 @@ _TOKEN = re.compile(r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*")
 _EDGE = re.compile(r"^[^\w@+(]+|[^\w)]+$")
 #: Rounds of message passing, damping, weight added to counts, belief for a span.
 ROUNDS, DAMP, SMOOTH, BELIEF = 12, 0.3, 0.5, 0.5
-#: A token's shape keeps its first runs; this bounds the table of shapes.
-RUNS = 4
+#: A shape has a row of its own if it has this part of all tokens, or of those in base matches: twice as many rows at most.
+SHAPES = 20_000
+#: Longest repeated block of runs that is folded, longest shape that is not hashed, counts that a task holds at once.
+FOLD, LONG, HELD = 4, 64, 200_000
 
 
 def _luhn(digits: str) -> bool:
@@ -99,18 +102,28 @@ def base_spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[int, i
 
 
 def _shape(word: str, failed: bool) -> str:
-    """Runs of a token: 9 digits, a letters, themselves others, with a length class."""
-    out, last, n = [], "", 0
+    """All runs of a token: 9 digits, a letters, themselves others, with a length class; repeated blocks once with their count."""
+    runs, last, n = [], "", 0
     for c in word + "\0":
         kind = "9" if "0" <= c <= "9" else "a" if c.isalpha() else c if c.isascii() else "u"
         if kind != last:
             if last:
-                out.append(last + ("" if n == 1 else "2" if n < 4 else "4" if n < 7 else "7" if n < 13 else "+"))
-            if len(out) == RUNS:
-                break
+                runs.append(last + ("" if n == 1 else "2" if n < 4 else "4" if n < 7 else "7" if n < 13 else "x"))
             last, n = kind, 0
         n += 1
-    return "".join(out) + ("!" if failed else "")
+    out, i = [], 0
+    while i < len(runs):
+        size, times = 1, 1
+        for p in range(1, FOLD + 1):
+            k = 1
+            while len(runs) >= i + (k + 1) * p and runs[i + k * p : i + (k + 1) * p] == runs[i : i + p]:
+                k += 1
+            if k > 1 and k * p > size * times:
+                size, times = p, k
+        out.append("".join(runs[i : i + size]) + (f"\t{size}\t{times}\t" if times > 1 else ""))
+        i += size * times
+    shape = "".join(out)
+    return (shape if len(shape) <= LONG else "\t" + hashlib.md5(shape.encode(), usedforsecurity=False).hexdigest()) + ("!" if failed else "")
 
 
 class _Tokens:
@@ -157,6 +170,12 @@ class _Tokens:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """What, per task, the potentials are made of: (kind, a, b, n)."""
     c: Counter = Counter()
+
+    def rows() -> pa.RecordBatch:
+        out = [(*k, n) for k, n in c.items()]
+        c.clear()
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.string() if i < 3 else pa.int64()) for i in range(4)], names=["kind", "a", "b", "n"])
+
     for batch in batches:
         for text in batch.column("text").to_pylist():
             if not text or ("@" not in text and not _DIGIT.search(text)):
@@ -165,14 +184,15 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             c.update(("shape", s, str(y)) for s, y in zip(t.shape, t.seen, strict=True))
             c.update(("next", str(t.seen[i]), str(t.seen[i + 1])) for i, near in enumerate(t.next) if near)
             c.update(("skip", "", str(int(t.seen[i] == t.seen[j]))) for i, j in t.skips() if t.seen[i] or t.seen[j])
-    rows = [(*k, n) for k, n in c.items()]
-    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string() if i < 3 else pa.int64()) for i in range(4)], names=["kind", "a", "b", "n"])
+            if len(c) > HELD:
+                yield rows()
+    yield rows()
 
 
 class Field:
-    """Potentials of the field, as log values."""
+    """Potentials of the field, as log values; ``pool`` has the summed labels of the shapes without a row, and their number."""
 
-    def __init__(self, counts: list[tuple[str, str, str, int]]):
+    def __init__(self, counts: list[tuple[str, str, str, int]], pool: tuple[np.ndarray, int] = (np.zeros(5), 0)):
         shape: dict = defaultdict(lambda: np.zeros(5))
         step, agree = np.zeros((5, 5)), np.zeros(2)
         for kind, a, b, n in counts:
@@ -182,11 +202,12 @@ class Field:
                 step[int(a), int(b)] += n
             else:
                 agree[int(b)] += n
-        prior = sum(shape.values(), np.zeros(5)) + SMOOTH
+        prior = sum(shape.values(), pool[0].copy()) + SMOOTH
         prior /= prior.sum()
-        # Shapes seen under a base match count for their free twins; unseen ones count as outside.
-        self.shape = {s: np.log((v + SMOOTH * np.array([4, 0.25, 0.25, 0.25, 0.25])) / (v.sum() + 5 * SMOOTH)) for s, v in shape.items()}
-        self.unseen = np.log(np.array([0.96, 0.01, 0.01, 0.01, 0.01]))
+        # Shapes seen under a base match count for their free twins; unseen ones count as outside, or as the mean of the pool.
+        potential = lambda v: np.log((v + SMOOTH * np.array([4, 0.25, 0.25, 0.25, 0.25])) / (v.sum() + 5 * SMOOTH))
+        self.shape = {s: potential(v) for s, v in shape.items()}
+        self.unseen = potential(pool[0] / pool[1]) if pool[1] else np.log(np.array([0.96, 0.01, 0.01, 0.01, 0.01]))
         lift = (step + SMOOTH) / (step.sum() + 25 * SMOOTH) / np.outer(prior, prior)
         self.step = np.clip(np.log(lift), -3, 3)
         self.skip = float(np.clip(np.log((agree[1] + 1) / (agree[0] + 1)), 2.0, 6.0))
@@ -269,11 +290,20 @@ def _finder(field: Field) -> Callable:
 
 
 def fitted(docs: DataFrame, text_col: str = "text") -> Field:
-    """Potentials from counts over all documents; shapes are few, so the summed counts are too."""
+    """Potentials from counts over all documents, summed in Spark; only the shapes that have their own row and the pool's sums are collected."""
     ship(docs.sparkSession)
     own = private(docs, {"text": text_col}).select(F.col("text").cast("string"))
     counts = own.mapInArrow(_count, "kind string, a string, b string, n long").groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
-    return Field([tuple(r) for r in counts.collect()])
+    counts = saved(counts, "pii-counts")
+    labels = [F.sum(F.when(F.col("b") == str(y), F.col("n")).otherwise(0)).alias(f"y{y}") for y in range(5)]
+    shapes = counts.where("kind = 'shape'").groupBy("a").agg(*labels)
+    every = shapes.agg(*[F.coalesce(F.sum(f"y{y}"), F.lit(0)).alias(f"y{y}") for y in range(5)]).first()
+    seen = F.expr("y1 + y2 + y3 + y4")
+    common = ((seen + F.col("y0")) * SHAPES >= sum(every)) | ((seen > 0) & (seen * SHAPES >= sum(every[1:])))
+    rows = [("shape", r["a"], str(y), r[f"y{y}"]) for r in shapes.where(common).collect() for y in range(5)]
+    rest = shapes.where(~common).agg(F.count("*"), *[F.coalesce(F.sum(f"y{y}"), F.lit(0)) for y in range(5)]).first()
+    others = [tuple(r) for r in counts.where("kind <> 'shape'").collect()]
+    return Field(rows + others, (np.array(rest[1:], float), rest[0]))
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", field: Field | None = None) -> DataFrame:
