@@ -74,7 +74,7 @@ def _symbols(path: str, content: str) -> list[tuple]:
                         out.append((path, "call", f"{owner}.{x.name}".strip("."), ast.unparse(c.func), c.lineno, c.end_lineno, [], None))
             elif isinstance(x, ast.Import | ast.ImportFrom):
                 base = getattr(x, "module", None) or ""
-                out += [(path, "import", owner, f"{base}.{a.name}".strip("."), x.lineno, x.end_lineno, [], None) for a in x.names]
+                out.extend((path, "import", owner, f"{base}.{a.name}".strip("."), x.lineno, x.end_lineno, [], None) for a in x.names)
 
     visit(tree, "")
     return out
