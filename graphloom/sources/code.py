@@ -8,7 +8,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Extensions of code files and folders that a walk leaves out (fixed values).
@@ -40,8 +40,8 @@ def json_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return doc.select(F.explode("nodes").alias("x")).select("x.*"), doc.select(F.explode("edges").alias("x")).select("x.*")
 
 
-def archived(spark: SparkSession, path: str) -> DataFrame:
-    """(archive, path, content) of the files in zip archives, an archive a task."""
+def unzipped(archives: DataFrame) -> DataFrame:
+    """(archive, path, content) of the files in zip archives (path, content), an archive a row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -51,7 +51,25 @@ def archived(spark: SparkSession, path: str) -> DataFrame:
                         if not i.is_dir():
                             yield pd.DataFrame({"archive": [name], "path": [i.filename], "content": [z.read(i).decode("utf-8", "replace")]})
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "archive string, path string, content string")
+    return archives.select("path", "content").mapInPandas(run, "archive string, path string, content string")
+
+
+def archived(spark: SparkSession, path: str) -> DataFrame:
+    """The files in the zip archives of a folder."""
+    return unzipped(spark.read.format("binaryFile").load(path))
+
+
+def zipped(files: DataFrame, name: Column) -> DataFrame:
+    """(path, content): zip archives of files (path, content), those with one name in one archive."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for p, c in zip(pdf["path"], pdf["content"], strict=True):
+                z.writestr(p, c)
+        return pd.DataFrame({"path": [pdf["name"].iloc[0]], "content": [out.getvalue()]})
+
+    return files.select(name.alias("name"), "path", "content").groupBy("name").applyInPandas(run, "path string, content binary")
 
 
 def _symbols(path: str, content: str) -> list[tuple]:
