@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.plans import evidence, graphs, money, projects, relational, retrieval, scalars, streams  # noqa: F401
+from graphloom.plans import evidence, graphs, money, projects, relational, retrieval, scalars, secondary, streams  # noqa: F401
 from graphloom.plans.book import ORACLES, QUERIES
 
 

@@ -11,7 +11,7 @@ from graphloom import catalog
 from graphloom.functions import finance, text
 from graphloom.operators import graph as G
 from graphloom.operators import ranking, search
-from graphloom.sources import code, sinks
+from graphloom.sources import code, flow, sinks, workbook
 
 QUERIES, ORACLES = catalog.queries(), catalog.oracle_sql()
 
@@ -107,3 +107,28 @@ def test_sinks(spark, tmp_path):
     back = code.csv_table(spark, str(tmp_path / "csv"), "id int, t string")
     assert sorted((r["id"], r["t"]) for r in back.where("id = 1").collect()) == [(1, 'say "hi"\nyou')]
     assert sinks.markdown_table(df.where("id = 2")).endswith("| 2 |  |")
+
+
+def test_local_moves(spark):
+    """Two cliques with one edge between them are two communities."""
+    cliques = [(a, b) for group in ("abcde", "vwxyz") for a in group for b in group if a < b]
+    nodes = {n: i for i, n in enumerate("abcdevwxyz")}
+    e = spark.createDataFrame([(nodes[a], nodes[b]) for a, b in [*cliques, ("e", "v")]], "caller long, callee long")
+    got = {r["node"]: r["label"] for r in G.local_moves(e, 8).collect()}
+    assert len({got[i] for i in range(5)}) == 1 and len({got[i] for i in range(5, 10)}) == 1 and got[0] != got[9]
+    assert G.local_moves(e.limit(0), 2).count() == 0
+
+
+def test_flow(spark):
+    text = "def f(a, b):\n    while a:\n        c = b\n        a = c\n    else:\n        b = 1\n    if b:\n        raise b\n    return c\n"
+    files = spark.createDataFrame([("x.py", text), ("bad.py", "def ("), ("none.py", None)], "path string, content string")
+    assert {(r["line"], r["next"], r["kind"]) for r in flow.control(files).collect()} == {(2, 3, "true"), (3, 4, "next"), (4, 2, "next"), (2, 6, "false"), (6, 7, "next"), (7, 8, "true"), (7, 9, "false")}
+    assert {(r["name"], r["line"], r["used"]) for r in flow.data(files).collect()} == {("a", 1, 2), ("b", 1, 3), ("c", 3, 4), ("b", 6, 7), ("b", 6, 8), ("c", 3, 9)}
+    kinds = {(r["kind"], r["name"]) for r in flow.statements(files).collect()}
+    assert {("param", "a"), ("def", "c"), ("use", "b"), ("return", "")} <= kinds
+
+
+def test_workbook(spark):
+    rows = spark.createDataFrame([("1", 1, "why\x01 <&>?", "so\r\nbe it"), ("1", 2, None, None), ("1", 3, " ", "x")], "s string, k int, question string, answer string")
+    got = [tuple(r) for r in workbook.questions(workbook.written(rows, "s", "k", ["question", "answer"])).collect()]
+    assert got == [("1", 2, "why <&>?", "so\r\nbe it"), ("1", 4, " ", "x")]
