@@ -11,7 +11,7 @@ STOPWORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "ha
 
 def words(text: Column) -> Column:
     """Lower-case runs of ASCII letters and digits that start with a letter, two characters at least."""
-    return F.filter(F.regexp_extract_all(F.lower(text), F.lit("[a-z][a-z0-9]*"), F.lit(0)), lambda w: F.length(w) > 1)
+    return F.regexp_extract_all(F.lower(text), F.lit("[a-z][a-z0-9]+"), F.lit(0))
 
 
 def default_tokens(text: Column) -> Column:

@@ -13,30 +13,46 @@ from pyspark.sql import Window as W
 from graphloom.lineage import cut
 
 
-def bfs_levels(edges: DataFrame, seeds: DataFrame, most: int = 100) -> DataFrame:
-    """(node, depth): the least number of edges from any seed (a column ``node``)."""
+def bfs_levels(edges: DataFrame, seeds: DataFrame, most: int | None = None, stride: int = 3) -> DataFrame:
+    """(node, depth): the least number of edges from any seed (a column ``node``), up to ``most`` if that is given.
+
+    A job takes ``stride`` levels at a time, which long chains need and dense graphs do not mind.
+    """
     seen = cut(seeds.select("node", F.lit(0).alias("depth")).distinct(), "bfs")
-    front = seen
-    for depth in range(1, most + 1):
-        step = front.join(edges, front["node"] == edges["caller"]).select(F.col("callee").alias("node")).distinct()
-        front = cut(step.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)), "bfs")
-        if not front.limit(1).count():
+    front, depth = seen.select("node"), 0
+    while most is None or depth < most:
+        levels = stride if most is None else min(stride, most - depth)
+        reach = None
+        for k in range(1, levels + 1):
+            front = front.join(edges, front["node"] == edges["caller"]).select(F.col("callee").alias("node")).distinct()
+            level = front.withColumn("depth", F.lit(depth + k))
+            reach = level if reach is None else reach.union(level)
+        new = cut(reach.groupBy("node").agg(F.min("depth").alias("depth")).join(seen.select("node"), "node", "left_anti"), "bfs")
+        depth += levels
+        front = new.where(F.col("depth") == depth).select("node")
+        if not new.limit(1).count():
             break
-        seen = seen.unionByName(front)
+        seen = seen.unionByName(new)
     return seen
 
 
-def closure(edges: DataFrame, most: int = 100) -> DataFrame:
-    """(child, ancestor, depth) of a forest (child, parent), by steps up."""
-    level = cut(edges.select("child", F.col("parent").alias("ancestor"), F.lit(1).alias("depth")), "closure")
-    out = level
-    for depth in range(2, most + 1):
-        up = edges.toDF("ancestor", "next")
-        level = cut(level.join(up, "ancestor").select("child", F.col("next").alias("ancestor"), F.lit(depth).alias("depth")), "closure")
-        if not level.limit(1).count():
+def closure(edges: DataFrame, most: int | None = None) -> DataFrame:
+    """(child, ancestor, depth): the least number of steps up (child, parent); nodes of cycles are their own ancestors.
+
+    Each round doubles the steps that are known, so long chains take few rounds.
+    """
+    out = cut(edges.select("child", F.col("parent").alias("ancestor"), F.lit(1).alias("depth")).distinct(), "closure")
+    span = 1
+    while most is None or span < most:
+        far = out.where(F.col("depth") == span).select("child", F.col("ancestor").alias("mid"))
+        up = out.select(F.col("child").alias("mid"), "ancestor", "depth")
+        step = far.join(up, "mid").groupBy("child", "ancestor").agg((F.min("depth") + span).alias("depth"))
+        step = cut(step.join(out.select("child", "ancestor"), ["child", "ancestor"], "left_anti"), "closure")
+        if not step.limit(1).count():
             break
-        out = out.unionByName(level)
-    return out
+        out = out.unionByName(step)
+        span *= 2
+    return out if most is None else out.where(F.col("depth") <= most)
 
 
 def paths(edges: DataFrame, seeds: DataFrame, most: int, every: bool = False) -> DataFrame:
@@ -101,8 +117,8 @@ def label_propagation(edges: DataFrame, rounds: int) -> DataFrame:
 def local_moves(edges: DataFrame, rounds: int) -> DataFrame:
     """(node, label): a node goes to the neighbouring community with the most gain in modularity.
 
-    Half of the nodes, by hash, move in a round, so that neighbours seldom swap
-    places; of equal gains the smallest community is taken.
+    Half of the nodes, by a hash of node and round, move in a round, so that
+    neighbours seldom swap places; of equal gains the smallest community is taken.
     """
     both = cut(edges.union(edges.select("callee", "caller")).toDF("node", "other").where("node <> other").distinct(), "links")
     degree = cut(both.groupBy("node").agg(F.count("*").alias("d")), "degrees")
@@ -114,7 +130,7 @@ def local_moves(edges: DataFrame, rounds: int) -> DataFrame:
         choice = links.join(size, "label").join(label.select("node", "d", F.col("label").alias("own")), "node")
         rest = F.col("s") - F.when(F.col("label") == F.col("own"), F.col("d")).otherwise(0)
         best = choice.groupBy("node").agg(F.max(F.struct((F.col("k") * total - rest * F.col("d")).alias("gain"), -F.col("label"))).alias("x"))
-        moves = best.select("node", (-F.col("x")["col2"]).alias("to"), F.col("x.gain").alias("gain")).where((F.col("gain") > 0) & (F.pmod(F.xxhash64("node"), F.lit(2)) == k % 2))
+        moves = best.select("node", (-F.col("x")["col2"]).alias("to"), F.col("x.gain").alias("gain")).where((F.col("gain") > 0) & (F.pmod(F.xxhash64("node", F.lit(k)), F.lit(2)) == 0))
         label = cut(label.join(moves, "node", "left").select("node", "d", F.coalesce("to", "label").alias("label")), "labels")
     return label.select("node", "label")
 

@@ -37,7 +37,7 @@ def _seed(t: Tables, *nodes: int) -> DataFrame:
     return t.spark.createDataFrame([(n,) for n in nodes], "node long")
 
 
-_REACH = "r(node, depth) AS (SELECT 1::BIGINT, 0 UNION SELECT callee, depth + 1 FROM r JOIN calls ON node = caller WHERE depth < 8)"
+_REACH = "r(node, depth) AS (SELECT 1::BIGINT, 0 UNION SELECT callee, depth + 1 FROM r JOIN calls ON node = caller WHERE depth < 64)"
 
 
 @query("g_bfs_levels", RC + f", {_REACH} SELECT node, min(depth) AS depth FROM r GROUP BY node")
@@ -45,7 +45,7 @@ def g_bfs_levels(t):
     return G.bfs_levels(_calls(t), _seed(t, 1))
 
 
-@query("g_transitive_deps", RC + f", {_REACH} SELECT DISTINCT node FROM r WHERE node <> 1")
+@query("g_transitive_deps", RC + ", r(node) AS (SELECT 1::BIGINT UNION SELECT callee FROM r JOIN calls ON node = caller) SELECT node FROM r WHERE node <> 1")
 def g_transitive_deps(t):
     return G.bfs_levels(_calls(t), _seed(t, 1)).where("depth > 0").select("node")
 

@@ -109,12 +109,23 @@ def test_sinks(spark, tmp_path):
     assert sinks.markdown_table(df.where("id = 2")).endswith("| 2 |  |")
 
 
+def test_long_chains_and_cycles(spark):
+    """Traversals without a bound go to the end: a chain of 130 nodes, and a cycle behind it."""
+    chain = spark.range(130).selectExpr("id as caller", "id + 1 as callee").union(spark.createDataFrame([(130, 128)], "caller long, callee long")).cache()
+    got = {r["node"]: r["depth"] for r in G.bfs_levels(chain, spark.createDataFrame([(0,)], "node long"), stride=20).collect()}
+    assert got == {i: i for i in range(131)}
+    assert G.bfs_levels(chain, spark.createDataFrame([(0,)], "node long"), most=5).count() == 6
+    up = {(r["child"], r["ancestor"]): r["depth"] for r in G.closure(chain.toDF("child", "parent")).collect()}
+    assert up[0, 130] == 130 and up[128, 128] == 3 and (127, 127) not in up and up[130, 129] == 2
+    assert len(up) == sum(130 - i for i in range(128)) + 9
+
+
 def test_local_moves(spark):
     """Two cliques with one edge between them are two communities."""
     cliques = [(a, b) for group in ("abcde", "vwxyz") for a in group for b in group if a < b]
     nodes = {n: i for i, n in enumerate("abcdevwxyz")}
     e = spark.createDataFrame([(nodes[a], nodes[b]) for a, b in [*cliques, ("e", "v")]], "caller long, callee long")
-    got = {r["node"]: r["label"] for r in G.local_moves(e, 8).collect()}
+    got = {r["node"]: r["label"] for r in G.local_moves(e, 12).collect()}
     assert len({got[i] for i in range(5)}) == 1 and len({got[i] for i in range(5, 10)}) == 1 and got[0] != got[9]
     assert G.local_moves(e.limit(0), 2).count() == 0
 
