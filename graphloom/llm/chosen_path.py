@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.cluster import dropped, private, saved, ship, swept
+from graphloom.llm.cluster import dropped, lean, private, saved, ship, swept
 from graphloom.llm.textkernel import Words, as_bytes, chunks, mix, short
 
 #: Similarity sought, in hundredths; signature places; trees; members up to which a node is compared exhaustively.
@@ -344,7 +344,7 @@ class _Join:
             leads = leads.select("node", _every(parts).alias("part"), "leads").select("node", "part", F.explode("leads").alias("x")).select("node", "part", "x.cls", "x.comp")
             rows = rows.union(wide.select("node", F.pmod(F.xxhash64("cls", "node"), parts), "cls", "comp")).union(leads)
         rows = rows.join(self.classes.select("cls", "n_shingles", "brief"), "cls").repartition("node", "part").sortWithinPartitions("node", "part", "cls")
-        return saved(rows.select("node", "part", "cls", "comp", "n_shingles", "brief").mapInArrow(_runs(("node", "part"), _compared), "a long, b long, node long"), "candidates")
+        return saved(rows.select("node", "part", "cls", "comp", "n_shingles", "brief").mapInArrow(lean(_runs(("node", "part"), _compared)), "a long, b long, node long"), "candidates")
 
     def unsettled(self, live: DataFrame, met: DataFrame) -> DataFrame | None:
         """Nodes in which not all pairs were compared, if they have different components still."""
@@ -375,13 +375,13 @@ class _Join:
         sets = self._sets_of(parts.select("cls").distinct())
         full = parts.join(self.classes.select("cls", "n_shingles", "brief"), "cls").join(sets, "cls")
         full = full.repartition("node", "part").sortWithinPartitions("node", "part", "cls")
-        links = saved(full.select("node", "part", "cls", "comp", "n_shingles", "brief", "shingles").mapInArrow(_runs(("node", "part"), _settled), "a long, b long"), "settled")
+        links = saved(full.select("node", "part", "cls", "comp", "n_shingles", "brief", "shingles").mapInArrow(lean(_runs(("node", "part"), _settled)), "a long, b long"), "settled")
         self.link(links)
 
     def branched(self, rows: DataFrame) -> DataFrame | None:
         """Descendants of nodes."""
         rows = self.attached(rows).join(self.classes.select("cls", "brief"), "cls").repartition("cls")  # the members of a node go to many tasks
-        below = saved(rows.select("node", "cls", "comp", "brief").mapInArrow(_children, "node long, cls long, comp long"), "descendants")
+        below = saved(rows.select("node", "cls", "comp", "brief").mapInArrow(lean(_children), "node long, cls long, comp long"), "descendants")
         out = self.live(below)
         dropped(below)
         return out
@@ -425,7 +425,7 @@ class _Join:
         if n:
             small = (lambda d: F.broadcast(d)) if n <= BROADCAST_IDS else (lambda d: d)
             texts = self.texts.join(small(need.select("key").distinct()), "key", "left_semi").select("text")
-            made = saved(texts.mapInArrow(_sets, "mark binary, shingles array<long>").join(small(need.select("cls", "mark")), "mark").select("cls", "shingles"), "sets")
+            made = saved(texts.mapInArrow(lean(_sets), "mark binary, shingles array<long>").join(small(need.select("cls", "mark")), "mark").select("cls", "shingles"), "sets")
             if made.count() > n:  # rows that repeat an id and its text
                 once = saved(made.groupBy("cls").agg(F.first("shingles").alias("shingles")), "sets")
                 dropped(made)
@@ -441,7 +441,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kind = dict(docs.dtypes).get(id_col, "string")
     own = private(docs, {"doc_id": id_col, "text": text_col}).withColumn("text", F.col("text").cast("string"))
     hashed = lambda c: F.xxhash64(F.coalesce(F.col(c).cast("string"), F.lit("")))
-    sigs = saved(own.mapInArrow(_sign, f"doc_id {kind}, n_shingles long, mark binary, roots array<long>, brief binary"), "signatures")
+    sigs = saved(own.mapInArrow(lean(_sign), f"doc_id {kind}, n_shingles long, mark binary, roots array<long>, brief binary"), "signatures")
     classes = sigs.where("mark is not null").groupBy("mark").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("roots").alias("roots"), F.first("brief").alias("brief"))
     classes = saved(classes.withColumns({"cls": F.monotonically_increasing_id(), "key": hashed("least")}), "classes")
     join = _Join(own.select(hashed("doc_id").alias("key"), "text"), classes)

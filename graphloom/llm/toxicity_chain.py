@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.cluster import private, ship
+from graphloom.llm.cluster import lean, private, ship
 from graphloom.llm.textkernel import NO_LETTER, Words, as_bytes, chunks
 
 #: Bytes of a word's start that are features, the whole word last.
@@ -141,7 +141,7 @@ class ToxicityChain:
         own = private(docs, {"id": id_col, "text": text_col}).withColumn("text", F.col("text").cast("string"))
         rows = own.join(F.broadcast(some), "id")  # at most about ``sample`` rows
         schema = T.StructType([f for f in rows.schema.fields if f.name != "text"] + [T.StructField("words", T.BinaryType())])
-        table = rows.mapInArrow(_featured, schema)
+        table = rows.mapInArrow(lean(_featured), schema)
         got = table.withColumn("fold", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(FOLDS))).orderBy("id").toPandas()
         words = [np.frombuffer(x, "<i4") for x in got["words"]]
         fold, before = got["fold"].to_numpy(), np.zeros((len(got), 0))
@@ -175,7 +175,7 @@ class ToxicityChain:
         ship(docs.sparkSession)
         df = docs if keep else private(docs, {"doc_id": id_col, "text": text_col}).withColumn("text", F.col("text").cast("string"))
         schema = T.StructType([*df.schema.fields, *[T.StructField(f"p_{c}", T.DoubleType()) for c in self.categories]])
-        out = df.mapInArrow(self._scorer(text_col if keep else "text"), schema)
+        out = df.mapInArrow(lean(self._scorer(text_col if keep else "text")), schema)
         return out if keep else out.drop("text")
 
 
