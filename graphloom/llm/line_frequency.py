@@ -23,11 +23,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.cluster import private, saved, ship
+from graphloom.llm.cluster import lean, private, saved, ship
 from graphloom.llm.textkernel import SPACE, SYMBOL, Words, as_bytes, chunks
 
-#: A line goes when more documents of its host have it than both of these.
-MIN_DOCS, HOST_SHARE = 20, 0.05
+#: A line goes when more documents of its host have it, however large the host is.
+MIN_DOCS = 20
 #: A document stays with so many words left, and so much of its words.
 MIN_WORDS, MIN_LEFT = 10, 0.3
 #: Copies of the table of frequent lines, over which a very common line's rows are dealt.
@@ -93,16 +93,14 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _frequent(facts: DataFrame, min_docs: int, host_share: float) -> DataFrame:
-    """(host, line) in more documents of the host than both limits; hosts and ids with "" for null."""
+def _frequent(facts: DataFrame, min_docs: int) -> DataFrame:
+    """(host, line) in more documents of the host than the limit; hosts and ids with "" for null."""
     lines = facts.select("host", "doc_id", F.explode("lines.line").alias("line"))
-    counts = lines.groupBy("host", "line").agg(F.count_distinct("doc_id").alias("n_docs")).where(F.col("n_docs") > min_docs)
-    hosts = facts.groupBy("host").agg(F.count_distinct("doc_id").alias("host_docs"))
-    return counts.join(hosts, "host").where(F.col("n_docs") > F.col("host_docs") * host_share).select("host", "line", "n_docs")
+    return lines.groupBy("host", "line").agg(F.count_distinct("doc_id").alias("n_docs")).where(F.col("n_docs") > min_docs)
 
 
 def line_frequency(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = MIN_DOCS, host_share: float = HOST_SHARE, min_words: int = MIN_WORDS, min_left: float = MIN_LEFT
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = MIN_DOCS, min_words: int = MIN_WORDS, min_left: float = MIN_LEFT
 ) -> tuple[DataFrame, DataFrame]:
     """Per row its base figures and verdict, and the table of lines to take out.
 
@@ -113,10 +111,10 @@ def line_frequency(
     ship(docs.sparkSession)
     kind = dict(docs.dtypes).get(id_col, "string")
     own = private(docs, {"doc_id": id_col, "text": text_col, "host": host_col}).select(F.col("doc_id").cast("string"), F.concat(F.lit("="), F.col("host").cast("string")).alias("host"), F.col("text").cast("string"))
-    facts = own.mapInArrow(_facts, _FACTS).withColumns({"row": F.monotonically_increasing_id(), "host": F.coalesce("host", F.lit("")), "null_id": F.col("doc_id").isNull(), "doc_id": F.coalesce("doc_id", F.lit(""))})
+    facts = own.mapInArrow(lean(_facts), _FACTS).withColumns({"row": F.monotonically_increasing_id(), "host": F.coalesce("host", F.lit("")), "null_id": F.col("doc_id").isNull(), "doc_id": F.coalesce("doc_id", F.lit(""))})
     facts = saved(facts, "line-facts")
-    frequent = saved(_frequent(facts, min_docs, host_share), "frequent-lines")
-    salted = frequent.select("host", "line", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    frequent = saved(_frequent(facts, min_docs), "frequent-lines")
+    salted = _salted(frequent)
     rows = facts.select("row", "host", F.explode("lines").alias("x")).select("row", "host", "x.line", "x.words", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int").alias("salt"))
     gone = rows.join(salted, ["host", "line", "salt"]).groupBy("row").agg(F.sum("words").alias("removed_words"))
     out = facts.drop("lines").join(gone, "row", "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)))
@@ -137,18 +135,29 @@ def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, pa.binary()).cast(pa.string())], names=["row", "text"])
 
 
+def _salted(frequent: DataFrame) -> DataFrame:
+    return frequent.select("host", "line", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+
+
+def _line_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lines = [list(_lines(t or b"")[1]) for t in as_bytes(batch.column("text"))]
+        yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("host"), pa.array(lines, pa.list_(pa.int64()))], names=["row", "host", "lines"])
+
+
 def without_lines(docs: DataFrame, frequent: DataFrame, text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """``docs`` with the lines of ``frequent`` taken out of the text; other columns stay.
+    """``docs`` with the lines of ``frequent`` (of :func:`line_frequency`) taken out of the text; other columns stay.
 
-    A host's lines travel as one array, so ``frequent`` should hold what
-    :func:`line_frequency` returns: lines above a share of the host's
-    documents, of which a document of L lines allows L / share a host at most.
+    Documents meet the lines one by one, so a host may have any number of them;
+    a document only gets those that it has.
     """
     ship(docs.sparkSession)
     names = docs.columns
     rows = saved(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    by_host = frequent.groupBy(F.expr("if(host = '', null, substring(host, 2))").alias("_host")).agg(F.collect_set("line").alias("gone"))
-    joined = rows.join(F.broadcast(by_host) if frequent.count() <= 100_000 else by_host, F.col(host_col).cast("string").eqNullSafe(F.col("_host")), "left")
-    text = joined.select(F.col("_row").alias("row"), F.col(text_col).cast("string").alias("text"), "gone").mapInArrow(_strip, "row long, text string")
+    host = F.coalesce(F.concat(F.lit("="), F.col(host_col).cast("string")), F.lit("")).alias("host")
+    own = rows.select(F.col("_row").alias("row"), host, F.col(text_col).cast("string").alias("text"))
+    lines = own.mapInArrow(_line_hashes, "row long, host string, lines array<long>").select("row", "host", F.explode("lines").alias("line"), F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int").alias("salt"))
+    gone = lines.join(_salted(frequent), ["host", "line", "salt"]).groupBy("row").agg(F.collect_list("line").alias("gone"))
+    text = own.select("row", "text").join(gone, "row", "left").mapInArrow(_strip, "row long, text string")
     back = rows.drop(text_col).join(text.select(F.col("row").alias("_row"), F.col("text").alias(text_col)), "_row")
     return back.select(*names)

@@ -126,10 +126,8 @@ lines AS (
   SELECT doc_id, source, line, translate(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'), ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm, len(regexp_extract_all(line, {_WORD})) AS words
   FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line FROM base) WHERE regexp_matches(line, {_WORD})),
 dups AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY doc_id),
-hosts AS (SELECT source, count(DISTINCT doc_id) AS n FROM base GROUP BY source),
 frequent AS (
-  SELECT l.source, l.norm FROM (SELECT source, norm, count(DISTINCT doc_id) AS n FROM lines GROUP BY ALL) l JOIN hosts h ON l.source IS NOT DISTINCT FROM h.source
-  WHERE l.n > 20 AND l.n > h.n * 0.05),
+  SELECT source, norm FROM (SELECT source, norm, count(DISTINCT doc_id) AS n FROM lines GROUP BY ALL) WHERE n > 20),
 gone AS (SELECT doc_id, sum(words) AS n FROM lines l JOIN frequent f ON l.source IS NOT DISTINCT FROM f.source AND l.norm = f.norm GROUP BY doc_id),
 figures AS (
   SELECT b.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
