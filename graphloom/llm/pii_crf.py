@@ -12,6 +12,9 @@ at-sign; all other tokens are outside any entity.  Its potentials:
   potential, so what is known to be a phone number in one place is one in the
   other.
 
+Values that are set to a name like "token" or "password" are secrets; they are
+counted and taken out of redacted texts, and are no spans of the field.
+
 All potentials are log-ratios of counts over all documents in which base
 matches are the labels; tokens inside base matches are observed.  Loopy
 sum-product message passing gives each free token's beliefs; runs of free
@@ -35,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.cluster import private, saved, ship
+from graphloom.llm.cluster import lean, private, saved, ship
 
 #: Kinds in the order in which spans are listed; label 0 of the field is "outside".
 KINDS = ("email", "ip", "card", "phone")
@@ -47,6 +50,9 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _TOKEN = re.compile(r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*")
 _EDGE = re.compile(r"^[^\w@+(]+|[^\w)]+$")
+#: Names of secrets (fixed values), and a value that is set to one.
+_KEYS = ("token", "password", "passwd", "secret", "api_key", "api-key", "apikey", "access_key", "access-key")
+_SECRET = re.compile(r"(?:" + "|".join(map(re.escape, _KEYS)) + r")[\"']?\s*[=:]\s*[\"']?([A-Za-z0-9_/+.=-]{12,})", re.IGNORECASE)
 #: Rounds of message passing, damping, weight added to counts, belief for a span.
 ROUNDS, DAMP, SMOOTH, BELIEF = 12, 0.3, 0.5, 0.5
 #: A shape has a row of its own if it has this part of all tokens, or of those in base matches: twice as many rows at most.
@@ -267,6 +273,12 @@ def _listed(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (KINDS.index(s[0]), *s[1:])))
 
 
+def secret_spans(text: str | None) -> list[tuple[str, int, int]]:
+    """Where the values of secrets stand."""
+    low = (text or "").lower()
+    return [("secret", *m.span(1)) for m in _SECRET.finditer(text)] if any(k in low for k in _KEYS) else []
+
+
 def _found(text: str | None, field: Field) -> tuple[list, list]:
     if not text or ("@" not in text and not _DIGIT.search(text)):
         return [], []
@@ -280,11 +292,11 @@ def _finder(field: Field) -> Callable:
             rows = []
             for text in batch.column("text").to_pylist():
                 base, more = _found(text, field)
-                n = Counter(k for k, _, _ in base)
-                rows.append((*[n[k] for k in KINDS], hashlib.sha256(_listed(base).encode()).hexdigest(), _listed(base + more), len(more)))
-            kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()]
-            cols = [pa.array([r[i] for r in rows], kinds[i]) for i in range(7)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"])
+                n, secrets = Counter(k for k, _, _ in base), len(secret_spans(text))
+                rows.append((*[n[k] for k in KINDS], hashlib.sha256(_listed(base).encode()).hexdigest(), _listed(base + more), len(more), secrets, len(base) + len(more) + secrets))
+            kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()] * 3
+            cols = [pa.array([r[i] for r in rows], kinds[i]) for i in range(9)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added", "n_secrets", "n_found"])
 
     return run
 
@@ -293,7 +305,7 @@ def fitted(docs: DataFrame, text_col: str = "text") -> Field:
     """Potentials from counts over all documents, summed in Spark; only the shapes that have their own row and the pool's sums are collected."""
     ship(docs.sparkSession)
     own = private(docs, {"text": text_col}).select(F.col("text").cast("string"))
-    counts = own.mapInArrow(_count, "kind string, a string, b string, n long").groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
+    counts = own.mapInArrow(lean(_count), "kind string, a string, b string, n long").groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
     counts = saved(counts, "pii-counts")
     labels = [F.sum(F.when(F.col("b") == str(y), F.col("n")).otherwise(0)).alias(f"y{y}") for y in range(5)]
     shapes = counts.where("kind = 'shape'").groupBy("a").agg(*labels)
@@ -307,11 +319,11 @@ def fitted(docs: DataFrame, text_col: str = "text") -> Field:
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", field: Field | None = None) -> DataFrame:
-    """Per row: doc_id, base counts, base_sha256, spans (base and added) and n_added."""
+    """Per row: doc_id, base counts, base_sha256, spans (base and added), n_added, n_secrets, and n_found, all together."""
     field = field or fitted(docs, text_col)
     kind = dict(docs.dtypes).get(id_col, "string")
     own = private(docs, {"doc_id": id_col, "text": text_col}).withColumn("text", F.col("text").cast("string"))
-    return own.mapInArrow(_finder(field), f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    return own.mapInArrow(lean(_finder(field)), f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_secrets long, n_found long")
 
 
 def _redact(field: Field) -> Callable:
@@ -322,7 +334,7 @@ def _redact(field: Field) -> Callable:
             for text in batch.column(at).to_pylist():
                 base, more = _found(text, field)
                 done = len(text or "")
-                for kind, a, b in sorted(base + more, key=lambda s: (-s[2], s[1])):
+                for kind, a, b in sorted(base + more + secret_spans(text), key=lambda s: (-s[2], s[1])):
                     a, b = a, min(b, done)
                     if a < b:
                         text = f"{text[:a]}[{kind.upper()}]{text[b:]}"
@@ -334,6 +346,6 @@ def _redact(field: Field) -> Callable:
 
 
 def redacted(docs: DataFrame, field: Field | None = None) -> DataFrame:
-    """``docs`` (with a string column ``text``) with every span replaced by its kind in brackets."""
+    """``docs`` (with a string column ``text``) with every span and secret replaced by its kind in brackets."""
     field = field or fitted(docs)
-    return docs.mapInArrow(_redact(field), docs.schema)
+    return docs.mapInArrow(lean(_redact(field)), docs.schema)
