@@ -3,8 +3,8 @@
 Texts are encoded with a tokenizer file; every document ends with an end id.
 Documents are dealt to shards by ranges of their ids and stand in ascending
 order in a shard.  A shard is a run of blocks; every block is compressed by
-Re-Pair: frequent neighbouring symbols are replaced by nonterminals, round by
-round, until no pair is frequent.  Rules never cross a document's end, so any
+Re-Pair: neighbouring symbols that come ``FREQUENT`` times are replaced by
+nonterminals, the commonest first, some hundreds a round, until there are none.  Rules never cross a document's end, so any
 document is a run of symbols that can be decoded alone.
 
 File format: Parquet files of blocks, written by Spark's committer.  A block
@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.cluster import private, ship
 
-#: Ids in a block; a pair is frequent from this count on; new rules a round; rounds at most.
-BLOCK, FREQUENT, RULES, ROUNDS = 1 << 20, 24, 1024, 8
+#: Ids in a block; a pair is frequent from this count on; new rules a round.
+BLOCK, FREQUENT, RULES = 1 << 20, 24, 1024
 #: Text bytes in a shard (about) and shards at most.
 SHARD_BYTES, SHARDS = 16 << 20, 4096
 #: Words whose ids a task keeps.
@@ -138,25 +138,22 @@ def _encoder(path: str, bounds: list, base: int) -> Callable:
 
 
 def compress(seq: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Re-Pair of a sequence of symbols in which ``base`` ends documents: (sequence, left, right)."""
+    """Re-Pair of a sequence of symbols in which ``base`` ends documents: (sequence, left, right); ends when no pair comes ``FREQUENT`` times."""
     left, right = [], []
-    for _ in range(ROUNDS):
-        if len(seq) < 2:
-            break
+    while len(seq) > 1:
         code = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:].astype(np.uint64)
-        slot = (code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)
-        slot = slot.astype(np.int32)
+        inner = np.flatnonzero((seq[:-1] != base) & (seq[1:] != base))
+        slot = ((code[inner] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)).astype(np.int32)
         hist = np.bincount(slot, minlength=1 << 18)
-        often = np.sort(hist)[-2 * RULES] if len(hist) > 2 * RULES else 0
-        live = hist >= max(FREQUENT, often)
-        at = np.flatnonzero(live[slot])
-        at = at[(seq[at] != base) & (seq[at + 1] != base)]
-        if not len(at):
-            break
-        pairs, which, n = np.unique(code[at], return_inverse=True, return_counts=True)
-        order = np.argsort(-n, kind="stable")[:RULES]
-        order = order[n[order] >= FREQUENT]
-        if not len(order):
+        # Slots bound the counts of their pairs from above, so the commonest pairs are sought among the fullest slots first.
+        for least in dict.fromkeys((max(FREQUENT, int(np.sort(hist)[-2 * RULES])), FREQUENT)):
+            at = inner[(hist >= least)[slot]]
+            pairs, which, n = np.unique(code[at], return_inverse=True, return_counts=True)
+            order = np.argsort(-n, kind="stable")[:RULES]
+            order = order[n[order] >= FREQUENT]
+            if len(order):
+                break
+        else:
             break
         rule = np.full(len(pairs), -1, np.int64)
         rule[order] = base + 1 + len(left) + np.arange(len(order))
