@@ -74,7 +74,7 @@ def test_near_duplicates_doubled_column(spark):
     assert chosen_path.near_duplicates(cases.doubled(spark)).count() == cases.frame(spark).count()
 
 
-def test_near_duplicates_large_group(spark):
+def test_near_duplicates_large_group(spark, monkeypatch):
     """A group far above the size of a small node, strays near its edge, and a shared passage."""
     r = random.Random(3)
     w = lambda: "".join(r.choice("abcdefghij") for _ in range(5))
@@ -86,7 +86,12 @@ def test_near_duplicates_large_group(spark):
             x[r.randrange(len(x))] = w()
         rows.append((i, " ".join(x)))
     rows += [(1000 + i, " ".join(passage + [w() for _ in range(50)])) for i in range(60)]
-    check_groups(spark.createDataFrame(rows, "doc_id long, text string"))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    check_groups(df)
+    for steps in (5, 3, 1):  # nodes in parts, their descendants, and what is left at the last step
+        monkeypatch.setattr(chosen_path, "SMALL", 20)
+        monkeypatch.setattr(chosen_path, "STEPS", steps)
+        check_groups(df)
 
 
 # ---- quality ---------------------------------------------------------------------
@@ -125,6 +130,17 @@ def test_frequent_lines_go(spark):
     assert clean.columns == df.columns and clean.where("lower(text) like '%cookies%'").count() == 0
 
 
+def test_a_line_goes_alike_in_small_and_large_hosts(spark):
+    """The same line, in the same number of documents of a small and of a very large host."""
+    body = F.concat_ws(" ", *[F.concat(F.lit(f"w{i}x"), F.col("id")) for i in range(12)])
+    line = F.when(F.col("id") % F.when(F.col("source") == "large", 800).otherwise(2) == 0, F.lit("\nall rights reserved by us")).otherwise("")
+    small, large = (spark.range(a, b).withColumn("source", F.lit(h)) for a, b, h in ((0, 50, "small"), (100_000, 120_000, "large")))
+    df = small.union(large).select(F.col("id").alias("doc_id"), F.concat(body, line).alias("text"), "source")
+    _, frequent = line_frequency.line_frequency(df)
+    assert {r["host"]: r["n_docs"] for r in frequent.collect()} == {"=small": 25, "=large": 25}
+    assert line_frequency.without_lines(df, frequent).where("text like '%reserved%'").count() == 0
+
+
 # ---- personal data -----------------------------------------------------------------
 
 
@@ -168,6 +184,14 @@ def test_personal_data(spark, docs):
     assert pii_crf.personal_data(cases.empty(spark)).count() == 0
 
 
+def test_secrets(spark):
+    text = 'set token = "2abc3ff2ca8fb1e4" and API_KEY: zz/Yx1234567890=\nthe token is here; password = short'
+    assert [text[a:b] for _, a, b in pii_crf.secret_spans(text)] == ["2abc3ff2ca8fb1e4", "zz/Yx1234567890="]
+    df = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")
+    assert {r["doc_id"]: (r["n_secrets"], r["n_found"]) for r in pii_crf.personal_data(df).collect()} == {1: (2, 2), 2: (0, 0), 3: (0, 0)}
+    assert "2abc3" not in pii_crf.redacted(df).where("doc_id = 1").first()["text"]
+
+
 def test_skip_chain_finds_the_repeat(spark):
     """A phone number is known by its form in one place, and only by its repetition in the other."""
     rows = [(i, f"call +1 (487) 555-{1000 + i} or so and then 555-{1000 + i} once more, page 12-{i}") for i in range(60)]
@@ -264,6 +288,21 @@ def test_repair_round_trip():
     assert len(out) < 2000
 
 
+def test_repair_goes_on_until_no_pair_is_frequent():
+    r = np.random.default_rng(1)
+    passage = r.integers(0, 5000, 600)
+    seq = np.concatenate([x for _ in range(40) for x in (passage, [9000], r.integers(0, 5000, 20), [9000])]).astype(np.uint32)
+    for s in (seq, np.append(np.full(70_000, 7), 9000).astype(np.uint32)):
+        out, left, right = repair_ids.compress(s, 9000)
+        flat, starts = repair_ids.expansions(left, right, 9000)
+        assert (repair_ids.expand(out, flat, starts, 9000) == s).all()
+        pairs = Counter(zip(out[:-1].tolist(), out[1:].tolist(), strict=True))
+        assert all(n < repair_ids.FREQUENT for (a, b), n in pairs.items() if 9000 not in (a, b))
+    assert max(np.diff(starts)) > 256
+    out, left, right = repair_ids.compress(seq, 9000)
+    assert len(out) == 40 * 23  # the passage is one symbol
+
+
 def test_token_shards(spark, docs, tmp_path):
     from tokenizers import Tokenizer
 
@@ -335,55 +374,99 @@ def test_lm_scores(spark, docs, sf):
     assert context_mixing.lm_scores(cases.empty(spark)).count() == 0
 
 
-def test_mixer_learns_and_is_a_distribution(spark, sf):
+def lm_texts(spark, sf):
     texts = [r["text"].encode() for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
-    import pyarrow as pa
-
-    train, test = texts[:150], texts[150:]
+    train = texts[:150]
     tree = context_mixing.Tree(np.bincount(np.frombuffer(b"".join(train), np.uint8), minlength=256), len(train))
-    batch = pa.RecordBatch.from_arrays([pa.array([t.decode() for t in train])], names=["text"])
-    counts = pa.Table.from_batches(list(context_mixing._count_contexts(tree)(iter([batch])))).to_pandas()
-    pieces = [tuple(x) for _, g in counts.groupby(["model", "piece"]) for x in context_mixing._logits(tree)(g).itertuples(index=False)]
-    mixer = context_mixing.Mixer(tree, pieces)
-    bits = mixer.bits(test)
+    return train, texts[150:], tree, context_mixing.Counts.of(train, [True] * len(train))
+
+
+def bits_of(mixer, texts):
+    by = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
+    out = np.zeros(len(texts))
+    out[by] = mixer.bits(context_mixing.Seen([texts[i] for i in by]))
+    return out
+
+
+def test_mixer_learns_and_is_a_distribution(spark, sf):
+    train, test, tree, counts = lm_texts(spark, sf)
+    mixer = context_mixing.Mixer(tree, counts)
+    bits = bits_of(mixer, test)
     assert bits.sum() / sum(map(len, test)) < 3.2
-    assert np.allclose(bits[:5], [mixer.bits([t])[0] for t in test[:5]], rtol=1e-4)  # whatever stands beside
+    assert np.allclose(bits[:5], [bits_of(mixer, [t])[0] for t in test[:5]], rtol=1e-4)  # whatever stands beside
     # All one-byte texts, the empty one and the rest: probabilities add up to less than one.
-    one = mixer.bits([b"", *[bytes([b]) for b in range(256)]])
+    one = bits_of(mixer, [b"", *[bytes([b]) for b in range(256)]])
     assert 0.0 < (2.0**-one).sum() <= 1.001
 
 
 def test_contexts_are_full_and_rare_bytes_are_learnt(spark):
-    import pyarrow as pa
-
     flat = np.random.default_rng(3).integers(0, 256, 300_000, dtype=np.uint8).tobytes()
-    made = list(context_mixing.Tree(np.ones(256, np.int64), 1).contexts([flat])[1])
-    assert len(np.unique(made[3])) == len({flat[max(0, i - 4) : i] for i in range(len(flat) + 1)})  # no two share a slot
+    keys = context_mixing.Seen([flat]).pairs[3][1]
+    assert len(np.unique(keys)) == len({flat[max(0, i - 4) : i] for i in range(len(flat) + 1)})  # no two share a key
     line = "".join(chr(0x100 + 7 * i) for i in range(180))  # 140 bytes and more, none of them common
     df = spark.createDataFrame([(i, line) for i in range(60)], "doc_id long, text string")
     assert context_mixing.lm_scores(df).agg(F.max("bits_per_byte")).first()[0] < 1.0
-    tree = context_mixing.Tree(np.bincount(np.frombuffer(line.encode(), np.uint8), minlength=256), 1)
-    rows = pa.Table.from_batches(list(context_mixing._count_contexts(tree)(iter([pa.RecordBatch.from_arrays([pa.array([line])], names=["text"])]))))
-    assert set(rows["model"].to_pylist()) == {0, 1, 2, 3, 4}
+    assert len(context_mixing.Seen([line.encode()]).pairs) == context_mixing.MODELS == 5
+
+
+def test_counts_are_exact(spark):
+    """What follows every context, of all orders and of words, against counting by hand."""
+    texts = [b"the cat the hat", b"", b"The cat", "né né".encode()]
+    c = context_mixing.Counts.of(texts, [True, True, False, True])
+    seen = context_mixing.Seen(texts)
+    for k in range(4):
+        want = Counter()
+        for i, t in enumerate(texts):
+            s = [256] * 4 + list(t) + [256]
+            want.update((tuple(s[j - k - 1 : j]), s[j]) for j in range(4, len(s)) if i != 2)
+        pair, key, sym = seen.pairs[k]
+        at = c.at(key)
+        got = [{int(c.sym[x]): int(c.n[x]) for x in range(c.ptr[p], c.ptr[p + 1])} for p in at]
+        s = np.concatenate([[*list(t), 256] for t in texts])
+        assert (seen.sym == s).all()
+        by_context = Counter()
+        for (ctx, y), n in want.items():
+            by_context[y, n] += 1
+        assert sorted((y, n) for x in {int(p): g for p, g in zip(at, got, strict=True)}.values() for y, n in x.items()) == sorted(by_context.elements())
+    words = context_mixing._word_keys(texts)[0]
+    n = [int(c.n[c.ptr[p]]) if c.size[p] else 0 for p in c.at(words)]
+    assert n == [2, 1, 2, 1, 2, 1, 2, 2]
+
+
+def test_counts_travel_well():
+    n = np.array([0, 1, 15, 16, 17, 1000, 10**6, 3 * 10**9])
+    assert (context_mixing._unrounded(context_mixing._rounded(n[:4])) == n[:4]).all()
+    assert np.allclose(context_mixing._unrounded(context_mixing._rounded(n)), n, rtol=0.06)
+    for x in (n, n[:0], n.astype("<u4")):
+        assert (context_mixing._thawed(context_mixing._frozen(x), x.dtype.str) == x).all()
+    place = np.arange(10_000)
+    s = context_mixing._strides(place)
+    assert (np.diff(s) >= 0).all() and (np.diff(s) <= 1).all() and np.bincount(s)[:64].tolist() == [8] * 64 and np.bincount(s)[64] == 32 and np.bincount(s).max() == 128
+
+
+def test_pieces_add_up_over_blocks(spark, sf, monkeypatch):
+    """Scores do not depend on how texts are dealt over blocks and pieces."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60).cache()
+    once = {r["doc_id"]: r for r in context_mixing.lm_scores(docs).collect()}
+    monkeypatch.setattr(context_mixing, "BLOCK", 20_000)
+    for r in context_mixing.lm_scores(docs.repartition(5)).collect():
+        assert tuple(r)[:5] == tuple(once[r["doc_id"]])[:5]
+        assert math.isclose(r["base_score"], once[r["doc_id"]]["base_score"], rel_tol=1e-9)
+        assert math.isclose(r["score"], once[r["doc_id"]]["score"], rel_tol=0.05)  # the blocks' first weights differ a little
 
 
 def test_mixing_starts_trained_and_learns_in_short_texts(spark, sf, monkeypatch):
-    import pyarrow as pa
-
-    texts = [r["text"].encode() for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
-    train, test = texts[:150], [t[:300] for t in texts[150:]]
-    tree = context_mixing.Tree(np.bincount(np.frombuffer(b"".join(train), np.uint8), minlength=256), len(train))
-    counts = pa.Table.from_batches(list(context_mixing._count_contexts(tree)(iter([pa.RecordBatch.from_arrays([pa.array([t.decode() for t in train])], names=["text"])])))).to_pandas()
-    pieces = [x for _, g in counts.groupby(["model", "piece"]) for x in context_mixing._logits(tree)(g).itertuples(index=False)]
-    plain = context_mixing.Mixer(tree, pieces)
-    trained = context_mixing.Mixer(tree, pieces, context_mixing.Start(plain.fit(train)))
-    assert trained.bits(test).sum() < plain.bits(test).sum()
-    live = trained.bits(test)
+    train, test, tree, counts = lm_texts(spark, sf)
+    test = [t[:300] for t in test]
+    plain = context_mixing.Mixer(tree, counts)
+    trained = context_mixing.Mixer(tree, counts, context_mixing.Start(plain.fit(context_mixing.Seen(train))))
+    live = bits_of(trained, test)
+    assert live.sum() < bits_of(plain, test).sum()
     monkeypatch.setattr(context_mixing, "RATE", 0.0)
-    still = trained.bits(test)
+    still = bits_of(trained, test)
     assert (np.abs(live - still) > 1e-3).mean() > 0.9  # also texts under 512 bytes are learnt from as they go
     # The parts of the training texts add up, in whatever order.
-    halves = plain.fit(train[75:]) + plain.fit(train[:75])
+    halves = sum(plain.fit(context_mixing.Seen(x)) for x in (train[75:], train[:75]))
     assert np.allclose(context_mixing.Start(halves).weights, trained.start.weights, atol=0.1)
 
 

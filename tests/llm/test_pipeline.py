@@ -62,3 +62,15 @@ def test_run_is_the_stages(spark, sf):
     a = cp.run(spark, sf).select("doc_id", "n_pieces").collect()
     b = cp.run(spark, sf).select("doc_id", "n_pieces").collect()
     assert a and sorted(map(tuple, a)) == sorted(map(tuple, b))
+
+
+def test_near_dedup_tells_rows_apart(spark, sf):
+    """Rows that share an id with the same or another text, and rows without an id."""
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    rows = [(1, text(1)), (1, text(1)), (1, text(2)), (2, text(1) + " more"), (3, text(3)), (None, text(3)), (None, text(4)), (None, text(4)), (4, ""), (4, None), (5, text(2))]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = cp.near_dedup(spark, saved(df, "docs"), sf)
+    assert out.columns == df.columns
+    got = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=repr)
+    assert got == sorted([(1, text(1)), (1, text(2)), (3, text(3)), (None, text(4)), (4, ""), (4, None)], key=repr)
+    assert cp.near_dedup(spark, df.limit(0), sf).count() == 0
