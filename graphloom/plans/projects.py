@@ -189,31 +189,31 @@ def g_io(t):
 
 def _along(edges: DataFrame, t: Tables) -> DataFrame:
     """Flow edges with method ids, and the edges of calls between the methods' modules."""
-    own = edges.select(F.regexp_extract("path", r"m(\d+)\.py$", 1).cast("long").alias("module"), "line", F.col("to"), F.lit("inner").alias("kind"))
-    calls = B.calls(t.lineitem).where("caller % 10 = 0").select(F.col("caller").alias("module"), F.lit(12).cast("long").alias("line"), F.col("callee").alias("to"), F.lit("call").alias("kind"))
+    own = edges.select(F.regexp_extract("path", r"m(\d+)\.py$", 1).cast("long").alias("module"), "line", "target", F.lit("inner").alias("kind"))
+    calls = B.calls(t.lineitem).where("caller % 10 = 0").select(F.col("caller").alias("module"), F.lit(12).cast("long").alias("line"), F.col("callee").alias("target"), F.lit("call").alias("kind"))
     return own.unionByName(calls)
 
 
-@query("g_partition_cfg", with_("sources", "calls") + f"SELECT key AS module, line::BIGINT AS line, next::BIGINT AS \"to\", 'inner' AS kind FROM ({_CFG.replace('FROM sources', '')}, key FROM sources) UNION ALL SELECT caller, 12, callee, 'call' FROM calls WHERE caller % 10 = 0")
+@query("g_partition_cfg", with_("sources", "calls") + f"SELECT key AS module, line::BIGINT AS line, next::BIGINT AS target, 'inner' AS kind FROM ({_CFG.replace('FROM sources', '')}, key FROM sources) UNION ALL SELECT caller, 12, callee, 'call' FROM calls WHERE caller % 10 = 0")
 def g_partition_cfg(t):
     """The control flow of all methods, joined by the calls between them."""
-    return _along(flow.control(_sources(t)).withColumnRenamed("next", "to"), t)
+    return _along(flow.control(_sources(t)).withColumnRenamed("next", "target"), t)
 
 
-@query("g_partition_dfg", with_("sources", "calls") + f"SELECT key AS module, line::BIGINT AS line, used::BIGINT AS \"to\", 'inner' AS kind FROM ({_DFG.replace('FROM sources', '')}, key FROM sources) UNION ALL SELECT caller, 12, callee, 'call' FROM calls WHERE caller % 10 = 0")
+@query("g_partition_dfg", with_("sources", "calls") + f"SELECT key AS module, line::BIGINT AS line, used::BIGINT AS target, 'inner' AS kind FROM ({_DFG.replace('FROM sources', '')}, key FROM sources) UNION ALL SELECT caller, 12, callee, 'call' FROM calls WHERE caller % 10 = 0")
 def g_partition_dfg(t):
-    return _along(flow.data(_sources(t)).withColumnRenamed("used", "to"), t)
+    return _along(flow.data(_sources(t)).withColumnRenamed("used", "target"), t)
 
 
-_STITCH = "WITH step AS (SELECT o_custkey AS part, o_orderkey AS module, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS next FROM orders) SELECT part, module, unnest([1, 2]) AS line, unnest([2, 3]) AS \"to\", 'inner' AS kind FROM step UNION ALL SELECT part, module, 3, 1, 'boundary' FROM step WHERE next IS NOT NULL"
+_STITCH = "WITH step AS (SELECT o_custkey AS part, o_orderkey AS module, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS next FROM orders) SELECT part, module, unnest([1, 2]) AS line, unnest([2, 3]) AS target, 'inner' AS kind FROM step UNION ALL SELECT part, module, 3, 1, 'boundary' FROM step WHERE next IS NOT NULL"
 
 
 @query("g_path_level_cfg", _STITCH)
 def g_path_level_cfg(t):
     """The three lines of every method of a path, one after the other, and the edges from a method to the next of its path."""
     step = t.orders.select(F.col("o_custkey").alias("part"), F.col("o_orderkey").alias("module"), F.lead("o_orderkey").over(W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")).alias("next"))
-    inner = step.select("part", "module", F.explode(F.array(F.lit(1), F.lit(2))).alias("line")).select("part", "module", "line", (F.col("line") + 1).alias("to"), F.lit("inner").alias("kind"))
-    return inner.unionByName(step.where("next is not null").select("part", "module", F.lit(3).alias("line"), F.lit(1).alias("to"), F.lit("boundary").alias("kind")))
+    inner = step.select("part", "module", F.explode(F.array(F.lit(1), F.lit(2))).alias("line")).select("part", "module", "line", (F.col("line") + 1).alias("target"), F.lit("inner").alias("kind"))
+    return inner.unionByName(step.where("next is not null").select("part", "module", F.lit(3).alias("line"), F.lit(1).alias("target"), F.lit("boundary").alias("kind")))
 
 
 @query("q_dataflow_graph", CODE + "SELECT DISTINCT 'C' || key AS owner, unnest(['size', 'brand', 'y']) AS node, unnest(['field', 'field', 'variable']) AS kind FROM sources")
