@@ -80,15 +80,16 @@ def fit_linear(rows: list[np.ndarray], before: np.ndarray, y: np.ndarray) -> Lin
     flat = np.concatenate(rows)
     owner = np.repeat(np.arange(n, dtype=np.int32), [len(r) for r in rows])
     df = np.bincount(flat, minlength=PLACES)
-    with_y = np.bincount(flat, weights=y[owner], minlength=PLACES)
+    with_y = np.bincount(flat[(y > 0.5)[owner]], minlength=PLACES)
     mean = df / n
     lift = np.abs(with_y / n - mean * y.mean()) / np.sqrt(np.maximum(mean * (1 - mean), 1e-9))
     lift[(df < LEAST_TEXTS) | (mean > 0.5)] = 0
     pick = np.sort(np.argsort(-lift, kind="stable")[:FEATURES])
     pick = pick[lift[pick] > 0]
-    place = np.full(PLACES, -1)
-    place[pick] = np.arange(len(pick))
+    place = np.full(PLACES, -1, np.int32)
+    place[pick] = np.arange(len(pick), dtype=np.int32)
     col = place[flat]
+    del flat
     owner, col = owner[col >= 0], col[col >= 0]
     k = len(pick)
     w, start = np.zeros(k + extra), np.log(y.mean() / (1 - y.mean()))
