@@ -46,7 +46,7 @@ LEAST_AGREE = 51
 #: Agreeing places of a near copy, candidates a member (on average) above which a node names a few, and how many a member.
 NEAR, DENSE, NAMED = 77, 8, 2
 #: Pairs of a block that are intersected one by one, and shingles of more that are looked at together.
-ONE_BY_ONE, WIDTH = 200, 8192
+ONE_BY_ONE, WIDTH = 200, 2048
 #: Runs of members up to this many are compared all at once.
 SHORT = 16
 #: Candidate classes up to this many are broadcast (8 bytes each); more are joined by a shuffle.

@@ -35,11 +35,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.cluster import private, ship
+from graphloom.llm.cluster import lean, private, ship
 
 META = "▁"
 #: Parts whose ids a task keeps.
-CACHE = 700_000
+CACHE = 250_000
 
 
 class PieceTransducer:
@@ -229,7 +229,7 @@ def encoded(docs: DataFrame, keep: list[str], text_col: str = "text", path: str
     ship(docs.sparkSession)
     own = private(docs, {**{c: c for c in keep}, "_text": text_col}).withColumn("_text", F.col("_text").cast("string"))
     head = "".join(f"`{c}` {t}, " for c, t in own.dtypes if c != "_text")
-    return own.mapInArrow(_encode(path or model_path(), keep), head + "n_pieces long, ids array<int>")
+    return own.mapInArrow(lean(_encode(path or model_path(), keep)), head + "n_pieces long, ids array<int>")
 
 
 def decoded(rows: DataFrame, ids_col: str = "ids", path: str | None = None) -> DataFrame:

@@ -27,7 +27,7 @@ NO_LETTER = np.ones(256, np.uint8)
 NO_LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 0
 SYMBOL = np.zeros(256, np.int64)
 SYMBOL[[ord(c) for c in "#*$%&|<>"]] = 1
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 _pow = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
