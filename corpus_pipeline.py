@@ -14,20 +14,41 @@ from pyspark.sql import functions as F
 from graphloom.llm import chosen_path, cluster, mixing, pii_crf, piece_transducer, toxicity_chain
 
 
+#: Rows of an Arrow batch: texts go through Python workers in batches of a few MB, and a worker holds some copies of one.
+BATCH_ROWS = 2_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity is below the threshold."""
+    small_batches(spark)
     chain = toxicity_chain.standard_chain(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return chain.score(docs, keep=True).where(F.col("p_toxic") < toxicity_chain.THRESHOLD).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near duplicates; rows without an id stay."""
-    gone = chosen_path.near_duplicates(docs).where("not kept and doc_id is not null").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_id"], "left_anti")
+    """One row of each group of near duplicates: that of the smallest id, of equal ids the first; rows without an id come last.
+
+    Rows are numbered once and written, so rows that share an id, or have none, are told apart.
+    """
+    small_batches(spark)
+    rows = cluster.saved(docs.toDF(*[f"_c{i}" for i in range(len(docs.columns))]).withColumn("_row", F.monotonically_increasing_id()), "rows")
+    at = [c.lower() for c in docs.columns]
+    named = rows.select("_row", F.col(f"_c{at.index('doc_id')}").alias("_id"), F.col(f"_c{at.index('text')}").alias("text"))
+    groups = cluster.saved(chosen_path.near_duplicates(named, id_col="_row").select(F.col("doc_id").alias("_row"), "component_id"), "groups")
+    first = F.min(F.struct(F.col("_id").isNull(), "_id", "_row")).alias("first")
+    kept = groups.join(named.select("_row", "_id"), "_row").groupBy("component_id").agg(first).select("first._row")
+    gone = cluster.saved(groups.select("_row").join(kept, "_row", "left_anti"), "gone")
+    few = gone.count() <= chosen_path.BROADCAST_IDS
+    return rows.join(F.broadcast(gone) if few else gone, "_row", "left_anti").drop("_row").toDF(*docs.columns)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with personal data replaced by a tag of its kind; n_chars follows."""
+    small_batches(spark)
     return pii_crf.redacted(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
@@ -38,6 +59,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of every document, with its language and source."""
+    small_batches(spark)
     return piece_transducer.encoded(docs, keep=["doc_id", "lang", "source"])
 
 
