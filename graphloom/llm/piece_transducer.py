@@ -39,7 +39,7 @@ from graphloom.llm.cluster import lean, private, ship
 
 META = "▁"
 #: Parts whose ids a task keeps.
-CACHE = 250_000
+CACHE = 700_000
 
 
 class PieceTransducer:
@@ -48,6 +48,7 @@ class PieceTransducer:
     def __init__(self, path: str):
         import sentencepiece as spm
 
+        self.cache = CACHE
         sp = spm.SentencePieceProcessor(model_file=path)
         n = sp.vocab_size()
         self.piece = [sp.id_to_piece(i) for i in range(n)]
@@ -151,11 +152,11 @@ class PieceTransducer:
             out += ids
             at = k
         got = array("I", out).tobytes()
-        if len(self.known) > CACHE:
+        if len(self.known) > self.cache:
             self.known.clear()
-        if len(self.parts) > CACHE:
+        if len(self.parts) > self.cache:
             self.parts.clear()
-        if self.arcs > 2 * CACHE:
+        if self.arcs > 2 * self.cache:
             self.side.clear()
             self.arcs = 0
         self.known[segment] = got
@@ -208,9 +209,10 @@ def model_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def _encode(path: str, keep: list[str]) -> Callable:
+def _encode(path: str, keep: list[str], cache: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = machine(path)
+        m.cache = cache
         for batch in batches:
             texts = batch.column("_text").to_pylist()
             for at in range(0, len(texts), 1000):
@@ -224,12 +226,12 @@ def _encode(path: str, keep: list[str]) -> Callable:
     return run
 
 
-def encoded(docs: DataFrame, keep: list[str], text_col: str = "text", path: str | None = None) -> DataFrame:
-    """The columns ``keep``, n_pieces and ids (array<int>) of every row."""
+def encoded(docs: DataFrame, keep: list[str], text_col: str = "text", path: str | None = None, cache: int = CACHE) -> DataFrame:
+    """The columns ``keep``, n_pieces and ids (array<int>) of every row; a task keeps the ids of ``cache`` parts, some 250 bytes each."""
     ship(docs.sparkSession)
     own = private(docs, {**{c: c for c in keep}, "_text": text_col}).withColumn("_text", F.col("_text").cast("string"))
     head = "".join(f"`{c}` {t}, " for c, t in own.dtypes if c != "_text")
-    return own.mapInArrow(lean(_encode(path or model_path(), keep)), head + "n_pieces long, ids array<int>")
+    return own.mapInArrow(lean(_encode(path or model_path(), keep, cache)), head + "n_pieces long, ids array<int>")
 
 
 def decoded(rows: DataFrame, ids_col: str = "ids", path: str | None = None) -> DataFrame:
