@@ -16,6 +16,8 @@ from graphloom.llm import chosen_path, cluster, mixing, pii_crf, piece_transduce
 
 #: Rows of an Arrow batch: texts go through Python workers in batches of a few MB, and a worker holds some copies of one.
 BATCH_ROWS = 2_000
+#: Parts of texts whose ids an encoding task keeps: executors hold much else by then.
+CACHE = 250_000
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -60,7 +62,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of every document, with its language and source."""
     small_batches(spark)
-    return piece_transducer.encoded(docs, keep=["doc_id", "lang", "source"])
+    return piece_transducer.encoded(docs, keep=["doc_id", "lang", "source"], cache=CACHE)
 
 
 STAGES = [("toxicity", toxicity), ("near_dedup", near_dedup), ("pii", pii), ("mix", mix), ("encode", encode)]
