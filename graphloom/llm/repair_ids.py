@@ -141,13 +141,16 @@ def compress(seq: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.nda
     """Re-Pair of a sequence of symbols in which ``base`` ends documents: (sequence, left, right); ends when no pair comes ``FREQUENT`` times."""
     left, right = [], []
     while len(seq) > 1:
-        code = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:].astype(np.uint64)
-        inner = np.flatnonzero((seq[:-1] != base) & (seq[1:] != base))
-        slot = ((code[inner] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)).astype(np.int32)
-        hist = np.bincount(slot, minlength=1 << 18)
+        wide = seq.astype(np.uint64)
+        code = (wide[:-1] << np.uint64(32)) | wide[1:]
+        slot = ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)).astype(np.int32)
+        end = np.flatnonzero(seq == base)
+        slot[end[end < len(slot)]] = slot[end[end > 0] - 1] = 1 << 18  # no pair crosses a document's end
+        hist = np.bincount(slot, minlength=(1 << 18) + 1)
+        hist[1 << 18] = 0
         # Slots bound the counts of their pairs from above, so the commonest pairs are sought among the fullest slots first.
-        for least in dict.fromkeys((max(FREQUENT, int(np.sort(hist)[-2 * RULES])), FREQUENT)):
-            at = inner[(hist >= least)[slot]]
+        for least in dict.fromkeys((max(FREQUENT, int(np.partition(hist, -2 * RULES)[-2 * RULES])), FREQUENT)):
+            at = np.flatnonzero((hist >= least)[slot])
             pairs, which, n = np.unique(code[at], return_inverse=True, return_counts=True)
             order = np.argsort(-n, kind="stable")[:RULES]
             order = order[n[order] >= FREQUENT]
