@@ -92,7 +92,23 @@ def op10_multi_index_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("id") % 20 == 0)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_subset_sum_mix, op2_repair_token_ids, op3_skip_chain_pii, op4_chosen_path_near_dedup, op5_line_frequency_quality, op6_piece_transducer, op7_context_mixing_lm, op8_toxicity_chain, op9_license_rules, op10_multi_index_top_k)}
+def op11_maxscore_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents, of all, for every benchmark item."""
+    from graphloom.llm.maxscore import top_documents
+
+    return top_documents(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op13_heap_bpe_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document."""
+    import public_tokenizers
+
+    from graphloom.llm.bpe_counts import token_counts
+
+    return token_counts(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_subset_sum_mix, op2_repair_token_ids, op3_skip_chain_pii, op4_chosen_path_near_dedup, op5_line_frequency_quality, op6_piece_transducer, op7_context_mixing_lm, op8_toxicity_chain, op9_license_rules, op10_multi_index_top_k, op11_maxscore_search, op13_heap_bpe_counts)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORD = r"'[^\x20\x09-\x0D]+'"
@@ -146,6 +162,21 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance,
 SELECT query_id, rank, neighbour_id, distance FROM ranked WHERE rank <= 10
 """
 
+_TERMS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+_OP11 = f"""
+WITH asked AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+d AS (SELECT row_number() OVER () AS row, doc_id, {_TERMS} AS t FROM documents),
+sizes AS (SELECT count(*) AS n_docs, sum(len(t))::BIGINT AS n_words FROM d WHERE len(t) > 0),
+posts AS (SELECT row, doc_id, n, term, count(*) AS tf FROM (SELECT row, doc_id, len(t)::BIGINT AS n, unnest(t) AS term FROM d) SEMI JOIN asked USING (term) GROUP BY ALL),
+weights AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM posts, sizes GROUP BY term, n_docs),
+scored AS (
+  SELECT item_id, row, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_words))))::BIGINT AS score
+  FROM asked JOIN posts USING (term) JOIN weights USING (term), sizes GROUP BY item_id, row, doc_id HAVING score > 0)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank, doc_id, score
+FROM scored QUALIFY rank <= 10
+"""
+
 def _op9() -> str:
     """The scan in SQL: words stand with a space on either side, so that neighbouring matches share none."""
     from graphloom.llm.license_rules import BASE, BASE_SCORE, TRIGGERS, rules
@@ -184,4 +215,4 @@ FROM d LEFT JOIN base b USING (doc_id) LEFT JOIN named x USING (doc_id) LEFT JOI
 """
 
 
-ORACLES: dict[str, str] = {"op4_chosen_path_near_dedup": _OP4, "op5_line_frequency_quality": _OP5, "op9_license_rules": _op9(), "op10_multi_index_top_k": _OP10}
+ORACLES: dict[str, str] = {"op4_chosen_path_near_dedup": _OP4, "op5_line_frequency_quality": _OP5, "op9_license_rules": _op9(), "op10_multi_index_top_k": _OP10, "op11_maxscore_search": _OP11}
