@@ -99,6 +99,15 @@ def op11_maxscore_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_documents(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op12_pivot_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three hardest negatives of each of five positives, for the rows whose id 50 divides."""
+    from graphloom.llm.pivot_mining import hard_negatives
+
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    moved = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives(moved, F.col("id") % 50 == 0)
+
+
 def op13_heap_bpe_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and tokens of every document."""
     import public_tokenizers
@@ -108,7 +117,7 @@ def op13_heap_bpe_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_subset_sum_mix, op2_repair_token_ids, op3_skip_chain_pii, op4_chosen_path_near_dedup, op5_line_frequency_quality, op6_piece_transducer, op7_context_mixing_lm, op8_toxicity_chain, op9_license_rules, op10_multi_index_top_k, op11_maxscore_search, op13_heap_bpe_counts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_subset_sum_mix, op2_repair_token_ids, op3_skip_chain_pii, op4_chosen_path_near_dedup, op5_line_frequency_quality, op6_piece_transducer, op7_context_mixing_lm, op8_toxicity_chain, op9_license_rules, op10_multi_index_top_k, op11_maxscore_search, op12_pivot_hard_negatives, op13_heap_bpe_counts)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORD = r"'[^\x20\x09-\x0D]+'"
@@ -177,6 +186,18 @@ SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc
 FROM scored QUALIFY rank <= 10
 """
 
+_OP12 = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_dot_product(a.x, b.x)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+positives AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM pairs WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id)::INTEGER AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN pairs USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score QUALIFY rank <= 3
+"""
+
 def _op9() -> str:
     """The scan in SQL: words stand with a space on either side, so that neighbouring matches share none."""
     from graphloom.llm.license_rules import BASE, BASE_SCORE, TRIGGERS, rules
@@ -215,4 +236,4 @@ FROM d LEFT JOIN base b USING (doc_id) LEFT JOIN named x USING (doc_id) LEFT JOI
 """
 
 
-ORACLES: dict[str, str] = {"op4_chosen_path_near_dedup": _OP4, "op5_line_frequency_quality": _OP5, "op9_license_rules": _op9(), "op10_multi_index_top_k": _OP10, "op11_maxscore_search": _OP11}
+ORACLES: dict[str, str] = {"op4_chosen_path_near_dedup": _OP4, "op5_line_frequency_quality": _OP5, "op9_license_rules": _op9(), "op10_multi_index_top_k": _OP10, "op11_maxscore_search": _OP11, "op12_pivot_hard_negatives": _OP12}
