@@ -251,7 +251,7 @@ def top_documents(docs: DataFrame, items: DataFrame, k: int = 10, id_col: str =
     wanted = private(items, {"item_id": item_col, "text": item_text_col}).select("item_id", F.explode(terms_of(F.col("text").cast("string"))).alias("term"))
     asked, rounds = rounds_of(saved(wanted.distinct(), "asked"), round_bytes)
     key = asked.schema["item_id"].dataType
-    near = asked.select("item_id", F.lit(0).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("score")).limit(0)
+    near = asked.select("item_id", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("score")).limit(0)
     for r in range(rounds):
         rows = asked.where(F.col("round") == r).select("item_id", "term").collect()  # a round is bounded
         if not rows:
