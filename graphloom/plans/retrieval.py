@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import text as X
 from graphloom.lineage import cut
 from graphloom.operators import search as S
+from graphloom.operators import vectors as V
 from graphloom.plans.book import Tables, query
 
 _TOK = "list_filter(regexp_extract_all(lower({t}), '[a-z][a-z0-9]*'), lambda w: length(w) > 1)"
@@ -98,7 +99,7 @@ _COS = _KNN.format(d="1 - list_cosine_similarity(q.embedding::DOUBLE[], c.embedd
 
 
 def _knn(t: Tables, metric: str) -> DataFrame:
-    return S.nearest(t.embeddings, t.embeddings.where("vec_id % 20 = 0"), "vec_id", "embedding", 10, metric)
+    return V.nearest(t.embeddings, t.embeddings.where("vec_id % 20 = 0"), "vec_id", "embedding", 10, metric)
 
 
 @query("s_knn_l2", _L2 + "SELECT query, id, distance, rank FROM r WHERE rank <= 10")
