@@ -5,8 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: English stopwords of the default tokeniser (fixed values).
-STOPWORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "he", "in", "is", "it", "its", "of", "on", "that", "the", "to", "was", "will", "with")
+#: Stopwords of the default tokeniser (fixed values).
+STOPWORDS = (
+    "the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for",
+    "of", "with", "by", "from", "as", "is", "was", "are", "were", "been",
+    "be", "have", "has", "had", "do", "does", "did", "will", "would",
+    "could", "should", "may", "might", "can", "this", "that", "these",
+    "those", "i", "you", "he", "she", "it", "we", "they", "what", "which",
+    "who", "when", "where", "why", "how", "all", "each", "every", "both",
+    "few", "more", "most", "other", "some", "such", "no", "not", "only",
+    "same", "so", "than", "too", "very", "just", "if", "else", "then",
+)
+
+
+def _whole(pattern: str) -> Column:
+    """Matches that no letter, digit or underscore of any script stands beside."""
+    return F.lit(rf"(?<![\p{{L}}\p{{N}}_]){pattern}(?![\p{{L}}\p{{N}}_])")
 
 
 def words(text: Column) -> Column:
@@ -15,9 +29,9 @@ def words(text: Column) -> Column:
 
 
 def default_tokens(text: Column) -> Column:
-    """Camel case and ``_-/`` parted, lower-case, without stopwords."""
+    """Camel case and ``_-/`` parted, lower-case; whole words of two characters or more, letter first, without stopwords."""
     parted = F.regexp_replace(F.regexp_replace(text, "([a-z])([A-Z])", "$1 $2"), r"[_\-/]", " ")
-    return F.filter(words(parted), lambda w: ~w.isin(*STOPWORDS))
+    return F.filter(F.regexp_extract_all(F.lower(parted), _whole("[a-z][a-z0-9]++"), F.lit(0)), lambda w: ~w.isin(*STOPWORDS))
 
 
 def code_tokens(text: Column) -> Column:
@@ -27,8 +41,8 @@ def code_tokens(text: Column) -> Column:
 
 
 def semantic_tokens(text: Column) -> Column:
-    """Lower-cased first, parted at ``_-/\\.``."""
-    return F.regexp_extract_all(F.regexp_replace(F.lower(F.trim(text)), r"[_\-/\\.]", " "), F.lit("[a-z0-9]{2,}"), F.lit(0))
+    """Lower-cased first, parted at ``_-/\\.``; whole words of two letters or digits and more."""
+    return F.regexp_extract_all(F.regexp_replace(F.lower(F.trim(text)), r"[_\-/\\.]", " "), _whole("[a-z0-9]{2,}+"), F.lit(0))
 
 
 def bigrams(text: Column) -> Column:

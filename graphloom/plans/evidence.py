@@ -360,7 +360,7 @@ def s_symbol_hunt(t):
 @query("s_followup", _TERMS + _BM25 + ", hit AS (SELECT query, id FROM bm_ranked WHERE rank <= 3), w AS (SELECT query, term, sum(tf)::BIGINT AS n FROM hit JOIN terms USING (id) GROUP BY ALL) SELECT query, term, n FROM w WHERE NOT EXISTS (SELECT 1 FROM asked a WHERE a.query = w.query AND a.term = w.term) QUALIFY row_number() OVER (PARTITION BY query ORDER BY n DESC, term) <= 30")
 def s_followup(t):
     terms = _terms(t)
-    hit = S.bm25(terms, _asked(t), 3).select("query", "id")
+    hit = S.bm25(terms, _asked(t), 3, t.documents.count()).select("query", "id")
     w = terms.join(hit, "id").groupBy("query", "term").agg(F.sum("tf").alias("n")).join(_asked(t), ["query", "term"], "left_anti")
     return R.capped(w, "query", [F.desc("n"), F.col("term")], 30)
 
@@ -369,7 +369,7 @@ def s_followup(t):
 def s_overlap_signal(t):
     terms, asked = _terms(t), _asked(t)
     m = asked.groupBy("query").agg(F.count("*").alias("m"))
-    top = S.bm25(terms, asked, 5).select("query", "id")
+    top = S.bm25(terms, asked, 5, t.documents.count()).select("query", "id")
     k = terms.join(asked, "term").groupBy("query", "id").agg(F.count("*").alias("hits"))
     return top.join(k, ["query", "id"]).join(m, "query").select("query", "id", F.round((F.col("hits") + F.col("hits") / F.col("m")) * 0.5, 6).alias("signal"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from graphloom.lineage import cut
+from graphloom.operators import cycles as Y
 from graphloom.operators import graph as G
 from graphloom.plans.book import Tables, query
 from graphloom.plans.relational import _DEG, _SIDES, degrees, with_partitions
@@ -79,8 +80,20 @@ def g_trace_execution(t):
     return d.select("node", F.row_number().over(W.orderBy("depth", "node")).cast("long").alias("step"))
 
 
-@query("g_cycles", CALLS + "SELECT x.caller AS a, x.callee AS b, y.callee AS c FROM calls x JOIN calls y ON x.callee = y.caller JOIN calls z ON z.caller = y.callee AND z.callee = x.caller WHERE x.caller < x.callee AND x.caller < y.callee")
+@query("g_cycles", CALLS + "SELECT [a.caller, a.callee] AS path FROM calls a JOIN calls b ON b.caller = a.callee AND b.callee = a.caller WHERE a.caller < a.callee UNION ALL SELECT [a.caller, a.callee, b.callee] FROM calls a JOIN calls b ON b.caller = a.callee JOIN calls c ON c.caller = b.callee AND c.callee = a.caller WHERE a.caller < least(a.callee, b.callee) AND a.callee <> b.callee")
 def g_cycles(t):
+    """All cycles of up to three calls, each from its smallest node."""
+    return Y.cycles(_calls(t), 3)
+
+
+@query("g_strong_components", RC + ", r(a, b) AS (SELECT caller, callee FROM calls UNION SELECT a, callee FROM r JOIN calls ON b = caller) SELECT x.a AS node, min(x.b) AS comp FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a HAVING max(x.b) > x.a OR min(x.b) < x.a")
+def g_strong_components(t):
+    """Strongly connected components of all calls, of two nodes or more."""
+    return Y.strong_components(_calls(t))
+
+
+@query("g_triangles", CALLS + "SELECT x.caller AS a, x.callee AS b, y.callee AS c FROM calls x JOIN calls y ON x.callee = y.caller JOIN calls z ON z.caller = y.callee AND z.callee = x.caller WHERE x.caller < x.callee AND x.caller < y.callee AND x.callee <> y.callee")
+def g_triangles(t):
     return G.triangles(_calls(t))
 
 

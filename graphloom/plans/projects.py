@@ -190,17 +190,17 @@ def g_io(t):
 def _along(edges: DataFrame, t: Tables) -> DataFrame:
     """Flow edges with method ids, and the edges of calls between the methods' modules."""
     own = edges.select(F.regexp_extract("path", r"m(\d+)\.py$", 1).cast("long").alias("module"), "line", "target", F.lit("inner").alias("kind"))
-    calls = B.calls(t.lineitem).where("caller % 10 = 0").select(F.col("caller").alias("module"), F.lit(12).cast("long").alias("line"), F.col("callee").alias("target"), F.lit("call").alias("kind"))
+    calls = B.calls(t.lineitem).select(F.col("caller").alias("module"), F.lit(12).cast("long").alias("line"), F.col("callee").alias("target"), F.lit("call").alias("kind"))
     return own.unionByName(calls)
 
 
-@query("g_partition_cfg", with_("sources", "calls") + f"SELECT key AS module, line::BIGINT AS line, next::BIGINT AS target, 'inner' AS kind FROM ({_CFG.replace('FROM sources', '')}, key FROM sources) UNION ALL SELECT caller, 12, callee, 'call' FROM calls WHERE caller % 10 = 0")
+@query("g_partition_cfg", with_("sources", "calls") + f"SELECT key AS module, line::BIGINT AS line, next::BIGINT AS target, 'inner' AS kind FROM ({_CFG.replace('FROM sources', '')}, key FROM sources) UNION ALL SELECT caller, 12, callee, 'call' FROM calls ")
 def g_partition_cfg(t):
     """The control flow of all methods, joined by the calls between them."""
     return _along(flow.control(_sources(t)).withColumnRenamed("next", "target"), t)
 
 
-@query("g_partition_dfg", with_("sources", "calls") + f"SELECT key AS module, line::BIGINT AS line, used::BIGINT AS target, 'inner' AS kind FROM ({_DFG.replace('FROM sources', '')}, key FROM sources) UNION ALL SELECT caller, 12, callee, 'call' FROM calls WHERE caller % 10 = 0")
+@query("g_partition_dfg", with_("sources", "calls") + f"SELECT key AS module, line::BIGINT AS line, used::BIGINT AS target, 'inner' AS kind FROM ({_DFG.replace('FROM sources', '')}, key FROM sources) UNION ALL SELECT caller, 12, callee, 'call' FROM calls ")
 def g_partition_dfg(t):
     return _along(flow.data(_sources(t)).withColumnRenamed("used", "target"), t)
 

@@ -12,20 +12,28 @@ from graphloom.operators import vectors as V
 from graphloom.plans.book import Tables, query
 
 _TOK = "list_filter(regexp_extract_all(lower({t}), '[a-z][a-z0-9]*'), lambda w: length(w) > 1)"
-_TERMS = f"WITH docs AS (SELECT doc_id AS id, {_TOK.format(t='text')} AS w FROM documents), terms AS (SELECT id, length, term, count(*) AS tf FROM (SELECT id, len(w) AS length, unnest(w) AS term FROM docs) GROUP BY ALL), asked AS (SELECT DISTINCT item_id AS query, unnest({_TOK.format(t='text')}) AS term FROM benchmark)"
-_BM25 = """, size AS (SELECT count(*) AS n, avg(length) AS mean_length FROM (SELECT DISTINCT id, length FROM terms)),
+_RUNS = r"'[\p{L}\p{N}_]+'"
+_DEFAULT = rf"list_filter(regexp_extract_all(lower(regexp_replace(regexp_replace({{t}}, '([a-z])([A-Z])', '\1 \2', 'g'), '[_\-/]', ' ', 'g')), {_RUNS.replace('{', '{{').replace('}', '}}')}), lambda w: regexp_full_match(w, '[a-z][a-z0-9]+') AND w NOT IN ({', '.join(repr(w) for w in X.STOPWORDS)}))"
+_SEMANTIC = rf"list_filter(regexp_extract_all(regexp_replace(lower(trim({{t}})), '[_\-/\\.]', ' ', 'g'), {_RUNS.replace('{', '{{').replace('}', '}}')}), lambda w: regexp_full_match(w, '[a-z0-9]{{{{2,}}}}'))"
+_TERMS = f"WITH docs AS (SELECT doc_id AS id, {_DEFAULT.format(t='text')} AS w, {_SEMANTIC.format(t='text')} AS sw, lower(text) AS low FROM documents), terms AS (SELECT id, length, term, count(*) AS tf FROM (SELECT id, len(w) AS length, unnest(w) AS term FROM docs) GROUP BY ALL), asked AS (SELECT query, term, count(*) AS qf FROM (SELECT item_id AS query, unnest({_DEFAULT.format(t='text')}) AS term FROM benchmark) GROUP BY ALL)"
+_BM25 = """, size AS (SELECT count(*) AS n, avg(len(w)) AS mean_length FROM docs),
 df AS (SELECT term, count(*) AS df FROM terms GROUP BY term), idf0 AS (SELECT term, ln(n - df + 0.5) - ln(df + 0.5) AS idf FROM df, size),
 idf AS (SELECT term, CASE WHEN idf < 0 THEN 0.25 * (SELECT avg(idf) FROM idf0) ELSE idf END AS idf FROM idf0),
-bm AS (SELECT query, id, round(sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / mean_length))), 6) AS score FROM terms JOIN asked USING (term) JOIN idf USING (term), size GROUP BY query, id HAVING score > 0),
+bm AS (SELECT query, id, round(sum(qf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / mean_length))), 6) AS score FROM terms JOIN asked USING (term) JOIN idf USING (term), size GROUP BY query, id HAVING score > 0),
 bm_ranked AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM bm)"""
-_JAC = """, sets AS (SELECT id, list_distinct(w) AS s FROM docs), qn AS (SELECT query, count(*) AS m FROM asked GROUP BY query),
-both_n AS (SELECT query, id, len(s) AS n, count(*) AS k FROM (SELECT id, s, unnest(s) AS term FROM sets) JOIN asked USING (term) GROUP BY ALL),
-jac AS (SELECT query, id, round(k / (n + m - k), 6) AS score FROM both_n JOIN qn USING (query)), jac_ranked AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM jac)"""
+_JAC = f""", sets AS (SELECT id, list_distinct(sw) AS s, low FROM docs), questions AS (SELECT item_id AS query, lower(trim(text)) AS q, list_distinct({_SEMANTIC.format(t='text')}) AS t FROM benchmark), qt AS (SELECT query, unnest(t) AS term FROM questions),
+both_n AS (SELECT query, id, n, count(*) AS k FROM (SELECT id, len(s) AS n, unnest(s) AS term FROM sets) JOIN qt USING (term) GROUP BY ALL),
+jac AS (SELECT query, id, round(least(k / (n + len(t) - k) + CASE WHEN contains(low, q) THEN 0.1 ELSE 0 END, 1.0), 6)::DOUBLE AS score FROM both_n JOIN questions USING (query) JOIN sets USING (id)), jac_ranked AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM jac)"""
 _RRF = ", fused AS (SELECT query, id, round(sum(1.0 / (60 + rank)), 8)::DOUBLE AS score, count(*) AS sources FROM (SELECT query, id, rank FROM bm_ranked WHERE rank <= 20 UNION ALL SELECT query, id, rank FROM jac_ranked WHERE rank <= 20) GROUP BY ALL), hybrid AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM fused)"
 
 
 def _asked(t: Tables) -> DataFrame:
-    return t.benchmark.select(F.col("item_id").alias("query"), F.explode(F.array_distinct(X.words(F.col("text")))).alias("term"))
+    """(query, term, qf): the terms of every question, and how often it has them."""
+    return t.benchmark.select(F.col("item_id").alias("query"), F.explode(X.default_tokens(F.col("text"))).alias("term")).groupBy("query", "term").agg(F.count("*").alias("qf"))
+
+
+def _questions(t: Tables) -> DataFrame:
+    return t.benchmark.select(F.col("item_id").alias("query"), "text")
 
 
 def _terms(t: Tables) -> DataFrame:
@@ -34,21 +42,21 @@ def _terms(t: Tables) -> DataFrame:
 
 @query("s_bm25", _TERMS + _BM25 + " SELECT query, id, score, rank FROM bm_ranked WHERE rank <= 10")
 def s_bm25(t):
-    return S.bm25(_terms(t), _asked(t), 10)
+    return S.bm25(_terms(t), _asked(t), 10, t.documents.count())
 
 
 @query("topk_bm25", _TERMS + _BM25 + " SELECT query, id, score, rank FROM bm_ranked WHERE rank <= 3")
 def topk_bm25(t):
-    return S.bm25(_terms(t), _asked(t), 3)
+    return S.bm25(_terms(t), _asked(t), 3, t.documents.count())
 
 
 @query("s_jaccard_semantic", _TERMS + _JAC + " SELECT query, id, score, rank FROM jac_ranked WHERE rank <= 10")
 def s_jaccard_semantic(t):
-    return S.overlap(t.documents, "doc_id", "text", _asked(t), 10)
+    return S.overlap(t.documents, "doc_id", "text", _questions(t), 10)
 
 
 def _hybrid(t: Tables, top: int) -> DataFrame:
-    return S.fused([S.bm25(_terms(t), _asked(t), 20), S.overlap(t.documents, "doc_id", "text", _asked(t), 20)], top)
+    return S.fused([S.bm25(_terms(t), _asked(t), 20, t.documents.count()), S.overlap(t.documents, "doc_id", "text", _questions(t), 20)], top)
 
 
 @query("s_rrf", _TERMS + _BM25 + _JAC + _RRF + " SELECT query, id, score, sources, rank FROM hybrid WHERE rank <= 40")
@@ -75,21 +83,21 @@ def s_hybrid_graph(t):
 
 @query("agg_group_by_process", _TERMS + _BM25 + " SELECT query, source, count(*) AS hits FROM bm_ranked JOIN documents ON id = doc_id WHERE rank <= 10 GROUP BY ALL")
 def agg_group_by_process(t):
-    h = S.bm25(_terms(t), _asked(t), 10).join(t.documents, F.col("id") == F.col("doc_id"))
+    h = S.bm25(_terms(t), _asked(t), 10, t.documents.count()).join(t.documents, F.col("id") == F.col("doc_id"))
     return h.groupBy("query", "source").agg(F.count("*").alias("hits"))
 
 
 @query("agg_benchmark_summary", _TERMS + _BM25 + _JAC + ", a AS (SELECT query, list(id) AS x FROM bm_ranked WHERE rank <= 5 GROUP BY 1), b AS (SELECT query, list(id) AS y FROM jac_ranked WHERE rank <= 5 GROUP BY 1) SELECT count(*) AS queries, round(avg(len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y)))), 6) AS avg_jaccard FROM a JOIN b USING (query)")
 def agg_benchmark_summary(t):
-    a = S.bm25(_terms(t), _asked(t), 5).groupBy("query").agg(F.collect_list("id").alias("x"))
-    b = S.overlap(t.documents, "doc_id", "text", _asked(t), 5).groupBy("query").agg(F.collect_list("id").alias("y"))
+    a = S.bm25(_terms(t), _asked(t), 5, t.documents.count()).groupBy("query").agg(F.collect_list("id").alias("x"))
+    b = S.overlap(t.documents, "doc_id", "text", _questions(t), 5).groupBy("query").agg(F.collect_list("id").alias("y"))
     return a.join(b, "query").agg(F.count("*").alias("queries"), F.round(F.avg(X.jaccard(F.col("x"), F.col("y"))), 6).alias("avg_jaccard"))
 
 
 @query("s_topk_jaccard_eval", _TERMS + _BM25 + _JAC + ", a AS (SELECT query, arg_min(id, rank) AS x FROM bm_ranked GROUP BY 1), b AS (SELECT query, arg_min(id, rank) AS y FROM jac_ranked GROUP BY 1) SELECT query, x = y AS same_top FROM a JOIN b USING (query)")
 def s_topk_jaccard_eval(t):
-    a = S.bm25(_terms(t), _asked(t), 1).select("query", F.col("id").alias("x"))
-    b = S.overlap(t.documents, "doc_id", "text", _asked(t), 1).select("query", F.col("id").alias("y"))
+    a = S.bm25(_terms(t), _asked(t), 1, t.documents.count()).select("query", F.col("id").alias("x"))
+    b = S.overlap(t.documents, "doc_id", "text", _questions(t), 1).select("query", F.col("id").alias("y"))
     return a.join(b, "query").select("query", (F.col("x") == F.col("y")).alias("same_top"))
 
 
@@ -121,7 +129,7 @@ def _doc_words(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", X.words(F.col("text")).alias("w"))
 
 
-@query("s_tokenize_default", rf"SELECT doc_id, list_filter(regexp_extract_all(lower(regexp_replace(regexp_replace(text, '([a-z])([A-Z])', '\1 \2', 'g'), '[_\-/]', ' ', 'g')), '[a-z][a-z0-9]*'), lambda w: length(w) > 1 AND w NOT IN ({', '.join(repr(w) for w in X.STOPWORDS)})) AS tokens FROM documents")
+@query("s_tokenize_default", f"SELECT doc_id, {_DEFAULT.format(t='text')} AS tokens FROM documents")
 def s_tokenize_default(t):
     return t.documents.select("doc_id", X.default_tokens(F.col("text")).alias("tokens"))
 
@@ -131,7 +139,7 @@ def s_tokenize_code(t):
     return t.documents.select("doc_id", X.code_tokens(F.col("text")).alias("tokens"))
 
 
-@query("s_tokenize_semantic", r"SELECT doc_id, regexp_extract_all(regexp_replace(lower(trim(text)), '[_\-/\\.]', ' ', 'g'), '[a-z0-9]{2,}') AS tokens FROM documents")
+@query("s_tokenize_semantic", f"SELECT doc_id, {_SEMANTIC.format(t='text')} AS tokens FROM documents")
 def s_tokenize_semantic(t):
     return t.documents.select("doc_id", X.semantic_tokens(F.col("text")).alias("tokens"))
 
@@ -251,5 +259,5 @@ def q_batch_query(t):
 
 @query("s_label_eval", _TERMS + _BM25 + " SELECT query, sum(quality)::BIGINT AS good, count(*) AS labelled FROM bm_ranked JOIN labels ON id = doc_id WHERE rank <= 20 GROUP BY query")
 def s_label_eval(t):
-    h = S.bm25(_terms(t), _asked(t), 20).join(t.labels, F.col("id") == F.col("doc_id"))
+    h = S.bm25(_terms(t), _asked(t), 20, t.documents.count()).join(t.labels, F.col("id") == F.col("doc_id"))
     return h.groupBy("query").agg(F.sum("quality").alias("good"), F.count("*").alias("labelled"))

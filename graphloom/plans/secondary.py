@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 
 from graphloom.functions import text as X
 from graphloom.lineage import cut
+from graphloom.operators import communities as C
 from graphloom.operators import graph as G
 from graphloom.operators import ranking as R
 from graphloom.operators import search as S
@@ -19,7 +20,7 @@ from graphloom.plans.evidence import g_paths_intermediate
 from graphloom.plans.graphs import _BACK, _FWD, CALLS, CM, FLOW, _calls, g_paths_entry_forward, g_paths_leaf_to_entry
 from graphloom.plans.projects import DOMAINS, _domain, _first
 from graphloom.plans.relational import _SIDES, with_partitions
-from graphloom.plans.retrieval import _BM25, _JAC, _RRF, _TERMS, _TOK, _asked, _terms
+from graphloom.plans.retrieval import _BM25, _JAC, _RRF, _TERMS, _TOK, _asked, _questions, _terms
 from graphloom.sources import bindings as B
 from graphloom.sources.bindings import with_
 
@@ -61,7 +62,7 @@ _NEAR = ", near AS (SELECT source, lang, doc_id AS other FROM documents QUALIFY
 def join_graph_context(t):
     """Each hit's community and two neighbours of its kind, or a row that says there are none."""
     d = t.documents.select("doc_id", "source", "lang")
-    hit = cut(S.bm25(_terms(t), _asked(t), 3).join(d, F.col("id") == F.col("doc_id")).select("query", "id", "source", "lang"), "hits")
+    hit = cut(S.bm25(_terms(t), _asked(t), 3, t.documents.count()).join(d, F.col("id") == F.col("doc_id")).select("query", "id", "source", "lang"), "hits")
     first = W.partitionBy("source", "lang").orderBy("doc_id")
     near = d.withColumn("n", F.row_number().over(first)).where("n <= 3").select("source", "lang", F.col("doc_id").alias("other"))
     two = hit.join(near, ["source", "lang"]).where("other <> id").withColumn("n", F.row_number().over(W.partitionBy("query", "id").orderBy("other"))).where("n <= 2")
@@ -191,8 +192,14 @@ def q_structural_paths(t):
 
 @query("g_community_louvain")
 def g_community_louvain(t):
-    """Communities by local moves on modularity, on the calls of every tenth node."""
-    return G.local_moves(cut(B.calls(t.lineitem).where("caller % 10 = 0"), "calls"), 6)
+    """Louvain communities of all calls."""
+    return C.louvain(_calls(t)).members
+
+
+@query("g_community_leiden")
+def g_community_leiden(t):
+    """Leiden communities of all calls, each connected by its own calls."""
+    return C.detected(_calls(t), "leiden").members
 
 
 @query("g_community_shadow")
@@ -202,7 +209,7 @@ def g_community_shadow(t):
     both = e.union(e.select("callee", "caller")).toDF("node", "other")
     top = cut(both.groupBy("node").agg(F.count("*").alias("d")).orderBy(F.desc("d"), "node").limit(200).select("node"), "sample")
     inner = cut(e.join(top.toDF("caller"), "caller", "left_semi").join(top.toDF("callee"), "callee", "left_semi"), "sampled")
-    member = cut(G.local_moves(inner, 6), "members")
+    member = C.louvain(inner).members
     sides = inner.join(member.toDF("caller", "a"), "caller").join(member.toDF("callee", "b"), "callee")
     calls = sides.select("a", (F.col("a") == F.col("b")).cast("int").alias("k")).union(sides.where("a <> b").select("b", F.lit(0))).groupBy(F.col("a").alias("label")).agg(F.sum("k").alias("own"), F.count("*").alias("all"))
     named = member.join(t.part.select(F.col("p_partkey").alias("node"), "p_brand"), "node").groupBy("label", "p_brand").agg(F.count("*").alias("n"))
@@ -212,16 +219,12 @@ def g_community_shadow(t):
 
 @query("g_modularity_iterate")
 def g_modularity_iterate(t):
-    """The mean share of inner calls of communities, round by round, until it gains less than a tenth or three rounds are done."""
-    e, rows, last = cut(B.calls(t.lineitem).where("caller % 10 = 0"), "calls"), [], None
-    for k in range(1, 4):
-        m = G.local_moves(e, 2 * k)
-        s = e.join(m.toDF("caller", "a"), "caller").join(m.toDF("callee", "b"), "callee")
-        own = s.select("a", (F.col("a") == F.col("b")).cast("int").alias("k")).union(s.where("a <> b").select("b", F.lit(0))).groupBy("a").agg(F.avg("k").alias("q")).agg(F.avg("q")).first()[0]
-        rows.append((k, round(own or 0.0, 6)))
-        if last is not None and rows[-1][1] - last < 0.1:
+    """Modularity of communities of all calls, level by level, until it gains less than a tenth or three rounds are done."""
+    rows: list[tuple[int, float]] = []
+    for k, q in enumerate(C.louvain(_calls(t), levels=3).quality, 1):
+        rows.append((k, round(q, 6)))
+        if k > 1 and rows[-1][1] - rows[-2][1] < 0.1:
             break
-        last = rows[-1][1]
     return t.spark.createDataFrame(rows, "round int, modularity double")
 
 
@@ -451,9 +454,9 @@ _RERANK = _TERMS + _BM25 + _JAC + ", again AS (SELECT b.query, b.id, b.rank AS w
 @query("s_rerank", _RERANK + " SELECT query, id, was, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, was) AS rank FROM again")
 def s_rerank(t):
     """The ten hits of BM25 by a lexical scorer, with the rank that they had."""
-    hit = S.bm25(_terms(t), _asked(t), 10).select("query", "id", F.col("rank").alias("was"))
+    hit = S.bm25(_terms(t), _asked(t), 10, t.documents.count()).select("query", "id", F.col("rank").alias("was"))
     docs = t.documents.join(hit.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    score = S.overlap(docs, "doc_id", "text", _asked(t), 1 << 30).select("query", "id", "score")
+    score = S.overlap(docs, "doc_id", "text", _questions(t), 1 << 30).select("query", "id", "score")
     x = hit.join(score, ["query", "id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
     return x.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "was")).cast("long"))
 
@@ -490,12 +493,12 @@ def s_retrieval(t):
     """Ranked words, shared words and long symbols, fused."""
     terms, asked = _terms(t), _asked(t)
     symbols = terms.join(asked.where(F.length("term") >= 8), "term").groupBy("query", "id").agg(F.max("tf").cast("double").alias("score"))
-    return S.fused([S.bm25(terms, asked, 20), S.overlap(t.documents, "doc_id", "text", asked, 20), S.ranked(symbols, 20)], 10)
+    return S.fused([S.bm25(terms, asked, 20, t.documents.count()), S.overlap(t.documents, "doc_id", "text", _questions(t), 20), S.ranked(symbols, 20)], 10)
 
 
 @query("q_evidence_chunks", _TERMS + _BM25 + " SELECT query, id, rank, substr(text, 1, 300) AS chunk FROM bm_ranked JOIN documents ON id = doc_id WHERE rank <= 3")
 def q_evidence_chunks(t):
-    hit = S.bm25(_terms(t), _asked(t), 3)
+    hit = S.bm25(_terms(t), _asked(t), 3, t.documents.count())
     return hit.join(t.documents, F.col("id") == F.col("doc_id")).select("query", "id", "rank", F.substring("text", 1, 300).alias("chunk"))
 
 
