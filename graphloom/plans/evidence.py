@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from graphloom.functions import text as X
 from graphloom.lineage import cut
 from graphloom.operators import graph as G
+from graphloom.operators import matching as M
 from graphloom.operators import ranking as R
 from graphloom.operators import search as S
 from graphloom.plans.book import Tables, query
@@ -333,17 +334,59 @@ def s_path_hints(t):
     return t.pages.select("page_id", F.regexp_extract_all("url", F.lit("[a-z0-9_]+/[a-z0-9_]+"), F.lit(0)).alias("hints"))
 
 
-@query("s_query_plans", "SELECT item_id, i AS plan, trim(s) AS text, CASE WHEN i = 1 THEN 1.0 ELSE 0.78 END::DOUBLE AS weight FROM (SELECT item_id, unnest(string_split(text, '.')) AS s, unnest(range(1, len(string_split(text, '.')) + 1)) AS i FROM benchmark) WHERE trim(s) <> '' AND i <= 6")
+def _plans_sql() -> str:
+    """Query plans and their features in SQL; words are marked so that "and" and "then" are found whole."""
+    stop = ", ".join(repr(w) for w in M.STOPWORDS)
+    marked = r"regexp_replace(trim(text), '([\p{L}\p{N}_]+)', chr(1) || '\1' || chr(2), 'g')"
+    cut_ = rf"replace(replace(regexp_replace({marked}, '(?i)\x01(and|then)\x02', ';', 'g'), chr(1), ''), chr(2), '')"
+    return rf"""WITH root AS (SELECT item_id AS query, trim(text) AS text, list_filter(list_transform(regexp_split_to_array({cut_}, '->|=>|;|；|,|，|并且|然后|再|以及'), lambda s: regexp_replace(regexp_replace(s, '^\s+', ''), '\s+$', '')), lambda s: s <> '') AS parts FROM benchmark WHERE trim(text) <> ''),
+every AS (SELECT query, 0 AS n, 'primary' AS kind, 1.0::DOUBLE AS weight, text FROM root UNION ALL SELECT query, unnest(range(1, len(parts) + 1)), 'segment', 0.78, unnest(parts) FROM root
+  UNION ALL SELECT query, 100000, 'bridge', 0.72, parts[1] || ' ' || parts[-1] FROM root WHERE len(list_distinct(parts)) >= 2),
+plans AS (SELECT query, row_number() OVER (PARTITION BY query ORDER BY n) - 1 AS plan, kind, weight, text FROM (SELECT * FROM every QUALIFY row_number() OVER (PARTITION BY query, text ORDER BY n) = 1) QUALIFY plan < 6),
+lists AS (SELECT *, list_filter(regexp_extract_all(lower(text), '[a-zA-Z_][a-zA-Z0-9_]+|[\x{{4e00}}-\x{{9fff}}][\x{{4e00}}-\x{{9fff}}]+'), lambda w: w NOT IN ({stop})) AS t,
+  list_filter(list_transform(list_filter(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_][A-Za-z0-9_][A-Za-z0-9_]+'), lambda w: contains(w, '_') OR regexp_matches(w, '[a-z][A-Z]|[A-Z][a-z]') OR length(w) >= 12), lambda w: lower(w)), lambda w: w NOT IN ({stop})) AS i FROM plans),
+firsts AS (SELECT *, list_slice(list_filter(t, lambda w, k: list_position(t, w) = k), 1, 16) AS terms, list_slice(list_filter(i, lambda w, k: list_position(i, w) = k), 1, 16) AS names FROM lists),
+feature AS (SELECT query, plan, 'term' AS f, unnest(terms) AS x FROM firsts UNION ALL SELECT query, plan, 'name', unnest(names) FROM firsts UNION ALL SELECT query, plan, 'phrase', lower(text) FROM firsts WHERE length(text) >= 6
+  UNION ALL SELECT query, plan, 'hint', unnest(list_distinct(list_transform(regexp_extract_all(text, '[^\s,;，；]+/[^\s,;，；]+'), lambda h: lower(h)))) FROM firsts),
+corpus AS (SELECT doc_id AS id, lower(coalesce(source, '') || '/' || coalesce(lang, '') || '/' || doc_id || '.md') AS path, lower(text) AS low FROM documents),
+worth AS (SELECT f, x, id, (CASE f WHEN 'term' THEN 22 * contains(path, x)::INT + 11 * least(n, 8) WHEN 'phrase' THEN 25 * (n > 0)::INT
+  WHEN 'hint' THEN CASE WHEN contains(path, x) THEN 30 WHEN regexp_extract(x, '[^/]*$') <> '' AND contains(path, regexp_extract(x, '[^/]*$')) THEN 20 ELSE 0 END
+  ELSE 45 * contains(path, x)::INT + 18 * least(n, 4) + CASE WHEN n = 0 THEN 0 WHEN contains(low, 'def ' || x || '(') THEN 120 WHEN contains(low, 'class ' || x) OR contains(low, 'function ' || x || '(') THEN 100 WHEN contains(low, 'const ' || x || ' =') OR contains(low, 'let ' || x || ' =') THEN 80 ELSE 0 END END)::BIGINT AS v
+  FROM (SELECT *, (length(low) - length(replace(low, x, ''))) // length(x) AS n FROM (SELECT DISTINCT f, x FROM feature), corpus)),
+scored AS (SELECT query, plan, id, round(sum(v) / 10 * weight, 4) AS score FROM feature JOIN worth USING (f, x) JOIN plans USING (query, plan) WHERE v > 0 GROUP BY query, plan, id, weight),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY query, id ORDER BY score DESC, plan) = 1)"""
+
+
+_PLANS = _plans_sql()
+_TOP = " SELECT query, id, plan, kind, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, length(path), id) AS rank FROM {} JOIN corpus USING (id) JOIN plans USING (query, plan) {} QUALIFY rank <= 20"
+
+
+def _corpus(t: Tables) -> DataFrame:
+    """(id, path, text): documents in a folder for each source and language."""
+    path = F.concat(F.coalesce("source", F.lit("")), F.lit("/"), F.coalesce("lang", F.lit("")), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md"))
+    return t.documents.select(F.col("doc_id").alias("id"), path.alias("path"), "text")
+
+
+def _plans(t: Tables) -> DataFrame:
+    return M.query_plans(t.benchmark.select(F.col("item_id").alias("query"), "text"))
+
+
+@query("s_query_plans", _PLANS + " SELECT query, plan, kind, weight, text FROM plans")
 def s_query_plans(t):
-    x = t.benchmark.select("item_id", F.posexplode(F.split("text", r"\.")).alias("i", "s")).where("trim(s) <> '' and i < 6")
-    return x.select("item_id", (F.col("i") + 1).cast("long").alias("plan"), F.trim("s").alias("text"), F.when(F.col("i") == 0, 1.0).otherwise(0.78).alias("weight"))
+    """Every question, its segments and the bridge of the first and the last."""
+    return _plans(t)
 
 
-@query("s_text_match_score", "SELECT doc_id, round(2.2 * (length(lower(text)) - length(replace(lower(text), 'license', '')) > 0)::INT + 1.1 * least(8, (length(lower(text)) - length(replace(lower(text), 'the', ''))) // 3), 4)::DOUBLE AS score FROM documents")
+@query("s_text_match_score", _PLANS + _TOP.format("scored", "WHERE plan = 0"))
 def s_text_match_score(t):
-    low = F.lower("text")
-    hits = lambda w: F.floor((F.length(low) - F.length(F.replace(low, F.lit(w), F.lit("")))) / len(w))
-    return t.documents.select("doc_id", F.round(F.when(hits("license") > 0, 2.2).otherwise(0.0) + 1.1 * F.least(F.lit(8), hits("the")), 4).alias("score"))
+    """The 20 best documents of every question by words, path, hints, phrase and identifiers."""
+    return M.matches(_corpus(t), _plans(t).where("plan = 0"), 20)
+
+
+@query("s_best_plan", _PLANS + _TOP.format("best", ""))
+def s_best_plan(t):
+    """The 20 best documents of every question, each by the plan that suits it best."""
+    return M.matches(_corpus(t), _plans(t), 20)
 
 
 @query("s_embed_text", r"SELECT p_partkey, trim(regexp_replace(concat_ws(' ', p_type, p_name, 'size', p_size::VARCHAR), ' +', ' ', 'g')) AS text FROM part")

