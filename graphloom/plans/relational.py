@@ -142,20 +142,6 @@ def st_cursor_read(t):
     return _log(t).where((F.col("seq") > 10) & (F.col("seq") <= 60)).select("key", "seq", "event_id")
 
 
-@query("st_pending_question", "SELECT conv_id, max(turn) AS turn, arg_max(text, turn) AS text FROM conversations c WHERE role = 'user' AND NOT EXISTS (SELECT 1 FROM conversations a WHERE a.conv_id = c.conv_id AND a.role = 'assistant' AND a.turn > c.turn) GROUP BY conv_id")
-def st_pending_question(t):
-    c = t.conversations
-    last = c.where("role = 'assistant'").groupBy("conv_id").agg(F.max("turn").alias("answered"))
-    asked = c.where("role = 'user'").join(last, "conv_id", "left").where("answered is null or turn >= answered")
-    return asked.groupBy("conv_id").agg(F.max("turn").alias("turn"), F.max_by("text", "turn").alias("text"))
-
-
-@query("st_ttl_cache", "SELECT event_id, user_id FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS prev FROM events) WHERE prev IS NULL OR ts > prev + INTERVAL 3600 SECOND")
-def st_ttl_cache(t):
-    w = W.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
-    return t.events.withColumn("prev", F.lag("ts").over(w)).where("prev is null or ts > prev + interval 3600 seconds").select("event_id", "user_id")
-
-
 @query("win_round_trip_retry", "SELECT event_type, event_id FROM (SELECT event_type, user_id, max(ts) AS ts, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY event_type, user_id) QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id) <= 12")
 def win_round_trip_retry(t):
     newest = t.events.groupBy("event_type", "user_id").agg(F.max("ts").alias("ts"), F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"))

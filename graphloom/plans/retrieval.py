@@ -246,12 +246,6 @@ def win_topic_shift(t):
     return c.withColumn("p", p).select("conv_id", "turn", F.coalesce(F.size(F.array_intersect("s", "p")) < 2, F.lit(False)).alias("shift"))
 
 
-@query("st_compaction", "SELECT conv_id, count(*) AS messages, sum(length(text))::BIGINT AS chars, CASE WHEN count(*) >= 4 AND sum(length(text)) >= 200 THEN 'compact' ELSE 'keep' END AS action FROM conversations GROUP BY conv_id")
-def st_compaction(t):
-    n = F.sum(F.length("text"))
-    return t.conversations.groupBy("conv_id").agg(F.count("*").alias("messages"), n.alias("chars"), F.when((F.count("*") >= 4) & (n >= 200), "compact").otherwise("keep").alias("action"))
-
-
 @query("q_batch_query", _TERMS + " SELECT query, count(DISTINCT id) AS docs FROM terms JOIN asked USING (term) GROUP BY query")
 def q_batch_query(t):
     return _terms(t).join(_asked(t), "term").groupBy("query").agg(F.count_distinct("id").alias("docs"))
