@@ -12,6 +12,7 @@ from graphloom.functions import text as X
 from graphloom.lineage import cut
 from graphloom.operators import communities as C
 from graphloom.operators import graph as G
+from graphloom.operators import imports as I
 from graphloom.operators import ranking as R
 from graphloom.operators import search as S
 from graphloom.operators import vectors as V
@@ -28,27 +29,41 @@ _flag = lambda c: F.coalesce(c, F.lit(False)).cast("int")
 
 # ---- joins ----------------------------------------------------------------------
 
-_IMPORTS = CALLS + """, asked AS (SELECT caller, b.p_brand AS dir, b.p_name AS name, a.p_brand AS own FROM calls JOIN part a ON caller = a.p_partkey JOIN part b ON callee = b.p_partkey WHERE caller % 5 = 0),
-same AS (SELECT p_brand, p_name, min(p_partkey) AS target FROM part GROUP BY ALL), every AS (SELECT p_name, min(p_partkey) AS target FROM part GROUP BY ALL), near AS (SELECT string_split(p_name, ' ')[1] AS head, arg_min(p_partkey, (length(p_name), p_partkey)) AS target FROM part GROUP BY ALL),
-found AS (SELECT DISTINCT caller, name, own, coalesce(s.target, e.target, n.target) AS target, CASE WHEN s.target IS NOT NULL THEN 0.9 WHEN e.target IS NOT NULL THEN 0.85 ELSE 0.3 END::DOUBLE AS confidence FROM asked LEFT JOIN same s ON s.p_brand = own AND s.p_name = name LEFT JOIN every e ON e.p_name = name AND length(name) % 2 = 0 LEFT JOIN near n ON n.head = string_split(name, ' ')[1])"""
+_IMPORTS = CALLS + r""", files AS (SELECT DISTINCT 'src/' || replace(p_brand, '#', '') || '/' || replace(p_name, ' ', '_') || '.py' AS path FROM part),
+asked AS (
+  SELECT DISTINCT 'src/' || replace(a.p_brand, '#', '') || '/' || replace(a.p_name, ' ', '_') || '.py' AS file, replace(a.p_brand, '#', '') AS folder,
+    CASE b.p_size % 4 WHEN 0 THEN replace(b.p_brand, '#', '') WHEN 1 THEN replace(b.p_name, ' ', '_') WHEN 2 THEN string_split(b.p_name, ' ')[2] ELSE '' END AS module,
+    CASE WHEN b.p_size % 4 = 3 THEN 'My_' || replace(b.p_name, ' ', '_') || CASE WHEN b.p_size % 8 = 3 THEN '_x' ELSE '' END ELSE replace(b.p_name, ' ', '_') END AS name, b.p_size % 4 = 0 AS relative, (b.p_size % 4 = 0)::INT AS up
+  FROM calls JOIN part a ON caller = a.p_partkey JOIN part b ON callee = b.p_partkey),
+m AS (SELECT *, CASE WHEN module = '' THEN name ELSE module END AS needle FROM asked),
+inside AS (SELECT needle, min(path) AS path FROM (SELECT DISTINCT needle FROM m), files WHERE contains(path, needle) GROUP BY needle),
+stems AS (SELECT lower(regexp_extract(path, '([^/]*)\.py$', 1)) AS stem, min(path) AS path FROM files GROUP BY ALL),
+fuzzy AS (SELECT low, arg_min(path, (abs(length(low) - length(stem)), path)) AS path FROM (SELECT DISTINCT lower(name) AS low FROM m), stems WHERE contains(stem, low) OR contains(low, stem) GROUP BY low),
+found AS (
+  SELECT m.file, m.module, m.name, coalesce(r.path, l.path, i.path, f.path) AS target, CASE WHEN r.path IS NOT NULL THEN 0.95 WHEN l.path IS NOT NULL THEN 0.9 WHEN i.path IS NOT NULL THEN 0.85 ELSE 0.3 END::DOUBLE AS confidence
+  FROM m LEFT JOIN files r ON relative AND r.path = 'src/' || module || '/' || name || '.py' LEFT JOIN files l ON l.path = 'src/' || folder || '/' || needle || '.py' LEFT JOIN inside i ON i.needle = m.needle LEFT JOIN fuzzy f ON f.low = lower(name)
+  WHERE coalesce(r.path, l.path, i.path, f.path) IS NOT NULL)"""
 
 
 def _imports(t: Tables) -> DataFrame:
-    """(caller, name, own, target, confidence): names resolved in the importer's folder, then anywhere, then by their first word."""
-    p = t.part.select("p_partkey", "p_brand", "p_name")
-    asked = B.calls(t.lineitem).where("caller % 5 = 0").join(p.toDF("caller", "own", "_n"), "caller").join(p.select(F.col("p_partkey").alias("callee"), F.col("p_name").alias("name")), "callee").select("caller", "own", "name")
-    same = p.groupBy(F.col("p_brand").alias("own"), F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("s"))
-    every = p.groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("e")).where("length(name) % 2 = 0")
-    head = F.split("p_name", " ")[0]
-    near = p.groupBy(head.alias("head")).agg(F.min_by("p_partkey", F.struct(F.length("p_name"), "p_partkey")).alias("n"))
-    x = asked.join(same, ["own", "name"], "left").join(every, "name", "left").withColumn("head", F.split("name", " ")[0]).join(near, "head", "left")
-    confidence = F.when(F.col("s").isNotNull(), 0.9).when(F.col("e").isNotNull(), 0.85).otherwise(0.3)
-    return x.select("caller", "name", "own", F.coalesce("s", "e", "n").alias("target"), confidence.alias("confidence")).distinct()
-
-
-@query("join_import_resolve", _IMPORTS + " SELECT caller, name, target, confidence FROM found")
+    """(file, module, name, target, confidence): what the modules of all calls import, resolved.
+
+    A part's module stands in the folder of its brand; how it is imported
+    follows the size: by a path, by its name, by its last word, or renamed.
+    """
+    folder, plain = F.replace("p_brand", F.lit("#"), F.lit("")), F.replace("p_name", F.lit(" "), F.lit("_"))
+    path = F.concat(F.lit("src/"), folder, F.lit("/"), plain, F.lit(".py"))
+    kind = F.col("p_size") % 4
+    module = F.when(kind == 0, folder).when(kind == 1, plain).when(kind == 2, F.get(F.split("p_name", " "), F.lit(1))).otherwise("")
+    name = F.when(kind == 3, F.concat(F.lit("My_"), plain, F.when(F.col("p_size") % 8 == 3, "_x").otherwise(""))).otherwise(plain)
+    callee = t.part.select(F.col("p_partkey").alias("callee"), module.alias("module"), name.alias("name"), (kind == 0).alias("relative"), (kind == 0).cast("int").alias("up"))
+    asked = B.calls(t.lineitem).join(t.part.select(F.col("p_partkey").alias("caller"), path.alias("file")), "caller").join(callee, "callee")
+    return I.resolved(t.part.select(path.alias("path")), asked).select("file", "module", "name", "target", "confidence")
+
+
+@query("join_import_resolve", _IMPORTS + " SELECT * FROM found")
 def join_import_resolve(t):
-    return _imports(t).select("caller", "name", "target", "confidence")
+    return _imports(t)
 
 
 _NEAR = ", near AS (SELECT source, lang, doc_id AS other FROM documents QUALIFY row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) <= 3)"
@@ -112,13 +127,13 @@ def q_partition_return_trace(t):
 
 # ---- sets and windows ---------------------------------------------------------------
 
-_TRACES = "WITH step AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_orderkey % 2 = 0), trace AS (SELECT DISTINCT path FROM (SELECT list(l_partkey ORDER BY l_partkey) AS path FROM step GROUP BY l_orderkey UNION ALL SELECT list(l_partkey ORDER BY l_partkey)[1:2] FROM step GROUP BY l_orderkey))"
+_TRACES = "WITH step AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem), trace AS (SELECT DISTINCT path FROM (SELECT list(l_partkey ORDER BY l_partkey) AS path FROM step GROUP BY l_orderkey UNION ALL SELECT list(l_partkey ORDER BY l_partkey)[1:2] FROM step GROUP BY l_orderkey))"
 
 
 @query("set_dedup_traces", _TRACES + ", places AS (SELECT path AS long, unnest(path) AS x, unnest(range(1, len(path) + 1)) AS i FROM trace) SELECT path FROM trace t WHERE NOT EXISTS (SELECT 1 FROM places WHERE x = t.path[1] AND len(long) > len(t.path) AND long[i:i + len(t.path) - 1] = t.path)")
 def set_dedup_traces(t):
     """Traces that are no part of a longer one; long traces are only looked at where the first node stands."""
-    step = t.lineitem.where("l_orderkey % 2 = 0").select("l_orderkey", "l_partkey").distinct()
+    step = t.lineitem.select("l_orderkey", "l_partkey").distinct()
     whole = step.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("l_partkey")).alias("path")).select("path")
     trace = cut(whole.union(whole.select(F.slice("path", 1, 2))).distinct(), "traces")
     at = trace.select(F.col("path").alias("long"), F.posexplode("path").alias("i", "x"))
@@ -461,14 +476,15 @@ def s_rerank(t):
     return x.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "was")).cast("long"))
 
 
-@query("s_import_hunt", _IMPORTS + ", base AS (SELECT p_partkey, p_size / 50.0 AS base FROM part) SELECT caller, target, round(0.45 * base + 1.7 * len(list_intersect(string_split(name, ' '), string_split(p.p_name, ' '))) + 2.6 * confidence, 6)::DOUBLE AS score FROM found JOIN base ON caller = base.p_partkey JOIN part p ON target = p.p_partkey WHERE caller <> target")
+@query("s_import_hunt", _IMPORTS + r", base AS (SELECT 'src/' || replace(p_brand, '#', '') || '/' || replace(p_name, ' ', '_') || '.py' AS file, max(p_size) / 50.0 AS base FROM part GROUP BY 1) SELECT file, target, max(round(0.45 * base + 1.7 * len(list_filter(list_distinct(string_split(regexp_replace(file, '^.*/|\.py$', '', 'g'), '_')), lambda w: contains(lower(name || ' ' || module || ' ' || target), w))) + 2.6 * confidence, 4))::DOUBLE AS score FROM found JOIN base USING (file) WHERE file <> target GROUP BY ALL")
 def s_import_hunt(t):
-    """Hits carried along resolved imports: a part of their own score, the terms shared and the resolution's confidence."""
-    base = t.part.select(F.col("p_partkey").alias("caller"), (F.col("p_size") / 50.0).alias("base"))
-    name = t.part.select(F.col("p_partkey").alias("target"), F.col("p_name").alias("other"))
-    shared = F.size(F.array_intersect(F.split("name", " "), F.split("other", " ")))
-    x = _imports(t).join(base, "caller").join(name, "target").where("caller <> target")
-    return x.select("caller", "target", F.round(0.45 * F.col("base") + 1.7 * shared + 2.6 * F.col("confidence"), 6).alias("score"))
+    """Hits carried along resolved imports: a part of their own score, 1.7 for each of their words in the import or its target, 2.6 times the confidence."""
+    folder, plain = F.replace("p_brand", F.lit("#"), F.lit("")), F.replace("p_name", F.lit(" "), F.lit("_"))
+    base = t.part.groupBy(F.concat(F.lit("src/"), folder, F.lit("/"), plain, F.lit(".py")).alias("file")).agg((F.max("p_size") / 50.0).alias("base"))
+    x = _imports(t).join(base, "file").where("file <> target")
+    words, text = F.array_distinct(F.split(F.regexp_replace("file", r"^.*/|\.py$", ""), "_")), F.lower(F.concat_ws(" ", "name", "module", "target"))
+    score = F.round(0.45 * F.col("base") + 1.7 * F.size(F.filter(words, lambda w: F.contains(text, w))) + 2.6 * F.col("confidence"), 4)
+    return x.groupBy("file", "target").agg(F.max(score).alias("score"))
 
 
 _SYMBOL_HITS = ", sym AS (SELECT query, id, max(tf)::DOUBLE AS score FROM terms JOIN asked USING (term) WHERE length(term) >= 8 GROUP BY ALL), sym_ranked AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM sym), pool AS (SELECT query, id, round(sum(1.0 / (60 + rank)), 8)::DOUBLE AS score, count(*) AS sources FROM (SELECT query, id, rank FROM bm_ranked WHERE rank <= 20 UNION ALL SELECT query, id, rank FROM jac_ranked WHERE rank <= 20 UNION ALL SELECT query, id, rank FROM sym_ranked WHERE rank <= 20) GROUP BY ALL)"
