@@ -12,6 +12,7 @@ from graphloom.operators import graph as G
 from graphloom.operators import matching as M
 from graphloom.operators import ranking as R
 from graphloom.operators import search as S
+from graphloom.operators import symbols as Z
 from graphloom.plans.book import Tables, query
 from graphloom.plans.graphs import _DEG, _SIDES, CALLS, CM, FLOW, RE, _calls, _extends, _flow, _starts
 from graphloom.plans.relational import degrees, with_partitions
@@ -334,12 +335,12 @@ def s_path_hints(t):
     return t.pages.select("page_id", F.regexp_extract_all("url", F.lit("[a-z0-9_]+/[a-z0-9_]+"), F.lit(0)).alias("hints"))
 
 
-def _plans_sql() -> str:
-    """Query plans and their features in SQL; words are marked so that "and" and "then" are found whole."""
+def _plans_sql(asked: str, corpus: str) -> str:
+    """Query plans of ``asked`` (query, text) and their features in ``corpus`` (id, path, low) in SQL; words are marked so that "and" and "then" are found whole."""
     stop = ", ".join(repr(w) for w in M.STOPWORDS)
     marked = r"regexp_replace(trim(text), '([\p{L}\p{N}_]+)', chr(1) || '\1' || chr(2), 'g')"
     cut_ = rf"replace(replace(regexp_replace({marked}, '(?i)\x01(and|then)\x02', ';', 'g'), chr(1), ''), chr(2), '')"
-    return rf"""WITH root AS (SELECT item_id AS query, trim(text) AS text, list_filter(list_transform(regexp_split_to_array({cut_}, '->|=>|;|；|,|，|并且|然后|再|以及'), lambda s: regexp_replace(regexp_replace(s, '^\s+', ''), '\s+$', '')), lambda s: s <> '') AS parts FROM benchmark WHERE trim(text) <> ''),
+    return rf"""WITH {asked}, root AS (SELECT query, trim(text) AS text, list_filter(list_transform(regexp_split_to_array({cut_}, '->|=>|;|；|,|，|并且|然后|再|以及'), lambda s: regexp_replace(regexp_replace(s, '^\s+', ''), '\s+$', '')), lambda s: s <> '') AS parts FROM asked WHERE trim(text) <> ''),
 every AS (SELECT query, 0 AS n, 'primary' AS kind, 1.0::DOUBLE AS weight, text FROM root UNION ALL SELECT query, unnest(range(1, len(parts) + 1)), 'segment', 0.78, unnest(parts) FROM root
   UNION ALL SELECT query, 100000, 'bridge', 0.72, parts[1] || ' ' || parts[-1] FROM root WHERE len(list_distinct(parts)) >= 2),
 plans AS (SELECT query, row_number() OVER (PARTITION BY query ORDER BY n) - 1 AS plan, kind, weight, text FROM (SELECT * FROM every QUALIFY row_number() OVER (PARTITION BY query, text ORDER BY n) = 1) QUALIFY plan < 6),
@@ -348,16 +349,16 @@ lists AS (SELECT *, list_filter(regexp_extract_all(lower(text), '[a-zA-Z_][a-zA-
 firsts AS (SELECT *, list_slice(list_filter(t, lambda w, k: list_position(t, w) = k), 1, 16) AS terms, list_slice(list_filter(i, lambda w, k: list_position(i, w) = k), 1, 16) AS names FROM lists),
 feature AS (SELECT query, plan, 'term' AS f, unnest(terms) AS x FROM firsts UNION ALL SELECT query, plan, 'name', unnest(names) FROM firsts UNION ALL SELECT query, plan, 'phrase', lower(text) FROM firsts WHERE length(text) >= 6
   UNION ALL SELECT query, plan, 'hint', unnest(list_distinct(list_transform(regexp_extract_all(text, '[^\s,;，；]+/[^\s,;，；]+'), lambda h: lower(h)))) FROM firsts),
-corpus AS (SELECT doc_id AS id, lower(coalesce(source, '') || '/' || coalesce(lang, '') || '/' || doc_id || '.md') AS path, lower(text) AS low FROM documents),
+{corpus},
 worth AS (SELECT f, x, id, (CASE f WHEN 'term' THEN 22 * contains(path, x)::INT + 11 * least(n, 8) WHEN 'phrase' THEN 25 * (n > 0)::INT
   WHEN 'hint' THEN CASE WHEN contains(path, x) THEN 30 WHEN regexp_extract(x, '[^/]*$') <> '' AND contains(path, regexp_extract(x, '[^/]*$')) THEN 20 ELSE 0 END
   ELSE 45 * contains(path, x)::INT + 18 * least(n, 4) + CASE WHEN n = 0 THEN 0 WHEN contains(low, 'def ' || x || '(') THEN 120 WHEN contains(low, 'class ' || x) OR contains(low, 'function ' || x || '(') THEN 100 WHEN contains(low, 'const ' || x || ' =') OR contains(low, 'let ' || x || ' =') THEN 80 ELSE 0 END END)::BIGINT AS v
   FROM (SELECT *, (length(low) - length(replace(low, x, ''))) // length(x) AS n FROM (SELECT DISTINCT f, x FROM feature), corpus)),
-scored AS (SELECT query, plan, id, round(sum(v) / 10 * weight, 4) AS score FROM feature JOIN worth USING (f, x) JOIN plans USING (query, plan) WHERE v > 0 GROUP BY query, plan, id, weight),
+scored AS (SELECT query, plan, id, round((sum(v) + CASE WHEN any_value(path) LIKE '%.py' THEN 2 ELSE 0 END) / 10 * weight, 4) AS score FROM feature JOIN worth USING (f, x) JOIN plans USING (query, plan) JOIN corpus USING (id) WHERE v > 0 GROUP BY query, plan, id, weight),
 best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY query, id ORDER BY score DESC, plan) = 1)"""
 
 
-_PLANS = _plans_sql()
+_PLANS = _plans_sql("asked AS (SELECT item_id AS query, text FROM benchmark)", "corpus AS (SELECT doc_id AS id, lower(coalesce(source, '') || '/' || coalesce(lang, '') || '/' || doc_id || '.md') AS path, lower(text) AS low FROM documents)")
 _TOP = " SELECT query, id, plan, kind, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, length(path), id) AS rank FROM {} JOIN corpus USING (id) JOIN plans USING (query, plan) {} QUALIFY rank <= 20"
 
 
@@ -394,12 +395,36 @@ def s_embed_text(t):
     return t.part.select("p_partkey", F.trim(F.regexp_replace(F.concat_ws(" ", "p_type", "p_name", F.lit("size"), F.col("p_size").cast("string")), " +", " ")).alias("text"))
 
 
-@query("s_symbol_hunt", "SELECT doc_id, i AS line, regexp_extract(l, '(token|password) ?=', 1) AS symbol FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents) WHERE regexp_matches(l, '(token|password) ?=')")
-def s_symbol_hunt(t):
+@query("s_secret_lines", "SELECT doc_id, i AS line, regexp_extract(l, '(token|password) ?=', 1) AS symbol FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents) WHERE regexp_matches(l, '(token|password) ?=')")
+def s_secret_lines(t):
     lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "l")).where(F.col("l").rlike("(token|password) ?="))
     return lines.select("doc_id", (F.col("i") + 1).cast("long").alias("line"), F.regexp_extract("l", "(token|password) ?=", 1).alias("symbol"))
 
 
+_HUNT = _plans_sql(
+    with_("sources").removeprefix("WITH ").strip() + ", asked AS (SELECT s_suppkey AS query, 'open ' || replace(path, 'src/', 'lib/') || ' and then find class C' || s_suppkey || ', method m' || s_suppkey AS text FROM supplier JOIN sources ON key = s_suppkey)",
+    "corpus AS (SELECT key AS id, lower(path) AS path, lower(content) AS low FROM sources)",
+) + rf""", top AS (SELECT query, id, score AS base, row_number() OVER (PARTITION BY query ORDER BY score DESC, length(path), id) AS rank FROM best JOIN corpus USING (id) QUALIFY rank <= 60),
+pieces AS (SELECT query, plan, terms, regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_.]+') AS tokens FROM firsts),
+words AS (SELECT query, plan, list_concat(terms, list_filter(flatten(list_transform(tokens, lambda t: list_transform(list_concat(regexp_split_to_array(translate(t, '._', '  '), ' +'), regexp_extract_all(t, '[A-Z]?[a-z]+|[A-Z]+|\d+')), lambda w: lower(w)))), lambda w: length(w) >= 2 AND w NOT IN ({", ".join(repr(w) for w in M.STOPWORDS)}))) AS w FROM pieces),
+short AS (SELECT query, plan, list_slice(list_filter(w, lambda x, k: list_position(w, x) = k), 1, 24) AS w FROM words),
+every_word AS (SELECT query, flatten(list(w ORDER BY plan)) AS w FROM short GROUP BY query),
+look AS (SELECT query, list_slice(list_filter(w, lambda x, k: list_position(w, x) = k), 1, 30) AS w FROM every_word),
+lines AS (SELECT key AS id, unnest(string_split(content, chr(10))) AS l, unnest(range(1, len(string_split(content, chr(10))) + 1)) AS line FROM sources),
+defs AS (SELECT id, line, coalesce(nullif(regexp_extract(l, '^\s*def\s+([A-Za-z_][A-Za-z0-9_]*)\s*\(', 1), ''), nullif(regexp_extract(l, '^\s*class\s+([A-Za-z_][A-Za-z0-9_]*)\b', 1), '')) AS symbol FROM lines WHERE regexp_matches(l, '^\s*(def|class)\s')),
+hits AS (SELECT query, id, symbol, line, rank, path, base, list_sum(list_transform(w, lambda x: CASE WHEN x = lower(symbol) THEN 60 WHEN contains(lower(symbol), x) THEN 28 ELSE 0 END)) AS tenths, (SELECT 'm' || t.query || '.py') AS hint FROM top t JOIN defs USING (id) JOIN corpus USING (id) JOIN look USING (query) WHERE symbol IS NOT NULL)
+SELECT query, id, symbol, line, round(tenths / 10 + CASE WHEN contains(path, hint) THEN 1.2 ELSE 0 END + greatest(0, 1.4 - rank * 0.03) + base * 0.35, 4)::DOUBLE AS score FROM hits WHERE tenths > 0 QUALIFY row_number() OVER (PARTITION BY query ORDER BY rank, line) <= 20"""
+
+
+@query("s_symbol_hunt", _HUNT)
+def s_symbol_hunt(t):
+    """The symbols that every supplier's question touches, in the 60 files that match it best."""
+    files = cut(B.sources(t.part).select(F.col("key").alias("id"), "path", F.col("content").alias("text")), "files")
+    text = F.concat(F.lit("open "), F.replace("path", F.lit("src/"), F.lit("lib/")), F.lit(" and then find class C"), F.col("s_suppkey"), F.lit(", method m"), F.col("s_suppkey"))
+    plans = cut(M.query_plans(t.supplier.join(files, F.col("s_suppkey") == F.col("id")).select(F.col("s_suppkey").alias("query"), text.alias("text"))), "plans")
+    return Z.symbol_hits(files, plans, M.matches(files, plans, Z.FILES), 20)
+
+
 @query("s_followup", _TERMS + _BM25 + ", hit AS (SELECT query, id FROM bm_ranked WHERE rank <= 3), w AS (SELECT query, term, sum(tf)::BIGINT AS n FROM hit JOIN terms USING (id) GROUP BY ALL) SELECT query, term, n FROM w WHERE NOT EXISTS (SELECT 1 FROM asked a WHERE a.query = w.query AND a.term = w.term) QUALIFY row_number() OVER (PARTITION BY query ORDER BY n DESC, term) <= 30")
 def s_followup(t):
     terms = _terms(t)

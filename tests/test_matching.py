@@ -3,6 +3,7 @@
 import random
 
 from graphloom.operators import matching as M
+from graphloom.operators import symbols as Z
 
 
 def table(spark, rows):
@@ -74,3 +75,20 @@ def test_matches_random(spark):
         got = M.matches(docs, plans, 5, size)
         assert sorted((x["query"], x["id"], x["plan"], x["score"], x["rank"]) for x in got.collect()) == sorted(want)
     assert M.matches(docs.limit(0), plans, 5).count() == 0 and M.matches(docs, plans.limit(0), 5).count() == 0
+
+
+def test_symbols(spark):
+    """Every kind of definition, repeats, and each part of the score."""
+    text = "import x\r\ndef load(a):\n  class Loader(Base):\nexport async function fetchAll(q) {\nconst handle = async (x) => 1\nexport class Loader {\nlet n = 5\nclassy = 1\n def LOAD (b):\n"
+    docs = spark.createDataFrame([(1, "src/io/load.py", text), (2, "q.md", "def loader_two(): pass"), (3, "z.md", None), (None, "n", "def load(): 1")], "id long, path string, text string")
+    found = {(r["id"], r["line"], r["symbol"]) for r in Z.definitions(docs).collect()}
+    assert found == {(1, 2, "load"), (1, 3, "Loader"), (1, 4, "fetchAll"), (1, 5, "handle"), (2, 1, "loader_two")}
+    plans = M.query_plans(table(spark, [(7, "load with fetchAll in lib/load.py"), (8, "nothing here")]))
+    words = Z.query_words(plans).where("query = 7").first()
+    assert words["terms"] == ["load", "fetchall", "in", "lib", "py", "fetch", "all"] and words["names"] == ["fetchall"] and words["hints"] == ["lib/load.py"]
+    best = spark.createDataFrame([(7, 2, 3.0, 1), (7, 1, 2.0, 2), (7, 3, 1.0, 3), (8, 1, 9.0, 1), (7, 2, 9.0, 61)], "query long, id long, score double, rank long")
+    got = {(r["id"], r["symbol"]): r["score"] for r in Z.symbol_hits(docs, plans, best, 20).where("query = 7").collect()}
+    rank, base = lambda k: 1.4 - 0.03 * k, lambda s: 0.35 * s
+    want = {(2, "loader_two"): 2.8 + rank(1) + base(3), (1, "load"): 6 + 1.2 + rank(2) + base(2), (1, "Loader"): 2.8 + 1.2 + rank(2) + base(2), (1, "fetchAll"): 6 + 2.8 + 2.8 + 16 + 1.2 + rank(2) + base(2)}
+    assert {k: round(v, 4) for k, v in want.items()} == got
+    assert [r["symbol"] for r in Z.symbol_hits(docs, plans, best, 2).orderBy("line").collect() if r["id"] == 2] == ["loader_two"]
