@@ -11,10 +11,13 @@ _own: dict[str, str] = {}
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; where it is unset, a temporary one."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    """The session's checkpoint folder; where it is unset, a temporary one, which only a local master can share."""
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if base:
         return base.rstrip("/")
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="graphloom-work-"))
 
 
