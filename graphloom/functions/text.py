@@ -17,6 +17,17 @@ STOPWORDS = (
     "same", "so", "than", "too", "very", "just", "if", "else", "then",
 )
 
+#: Words that an index of source files leaves out (fixed values).
+INDEX_STOPWORDS = (
+    "const", "let", "var", "function", "return", "if", "else", "for", "while",
+    "class", "new", "this", "import", "export", "from", "default", "async", "await",
+    "try", "catch", "throw", "typeof", "instanceof", "true", "false", "null", "undefined",
+    "the", "is", "at", "which", "on", "a", "an", "and", "or", "but", "in", "with",
+    "to", "of", "it", "be", "as", "by", "that", "for", "are", "was", "were",
+)
+#: Where such an index parts words (a fixed value).
+INDEX_BREAKS = r"""[\s\-_./\\(){}\[\]<>:;,!?'"]+"""
+
 
 def _whole(pattern: str) -> Column:
     """Matches that no letter, digit or underscore of any script stands beside."""
@@ -45,6 +56,11 @@ def semantic_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.regexp_replace(F.lower(F.trim(text)), r"[_\-/\\.]", " "), _whole("[a-z0-9]{2,}+"), F.lit(0))
 
 
+def index_tokens(text: Column) -> Column:
+    """Lower-case words between white space and punctuation, two characters or more, without an index's stopwords."""
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), INDEX_BREAKS), lambda w: (F.length(w) > 1) & ~w.isin(*INDEX_STOPWORDS))
+
+
 def bigrams(text: Column) -> Column:
     """Character bigrams of a run (for scripts without spaces)."""
     return F.when(F.length(text) > 1, F.transform(F.sequence(F.lit(1), F.length(text) - 1), lambda i: F.substring(text, i, F.lit(2)))).otherwise(F.array(text))

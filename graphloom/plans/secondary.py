@@ -16,6 +16,7 @@ from graphloom.operators import imports as I
 from graphloom.operators import ranking as R
 from graphloom.operators import search as S
 from graphloom.operators import vectors as V
+from graphloom.operators import wordindex as N
 from graphloom.plans.book import Tables, query
 from graphloom.plans.evidence import g_paths_intermediate
 from graphloom.plans.graphs import _BACK, _FWD, CALLS, CM, FLOW, _calls, g_paths_entry_forward, g_paths_leaf_to_entry
@@ -403,22 +404,30 @@ def s_symbol_terms(t):
     return t.pages.select("page_id", F.slice(F.array_distinct(F.filter(F.split(parted, " "), lambda w: F.length(w) > 1)), 1, 24).alias("terms"))
 
 
-_FUZZY = ", first AS (SELECT DISTINCT query, term FROM asked WHERE query % 20 = 0 AND length(term) >= 4), vocab AS (SELECT DISTINCT term FROM terms), wide AS (SELECT query, f.term, v.term AS found, CASE WHEN v.term = f.term THEN 1.0 WHEN starts_with(v.term, f.term) THEN 0.75 ELSE 0.5 END AS weight FROM first f JOIN vocab v ON starts_with(v.term, f.term) OR levenshtein(v.term, f.term) <= round(0.2 * length(f.term)))"
-
-
-@query("s_bm25_fuzzy", _TERMS + _FUZZY + " SELECT query, id, round(sum(weight * tf), 4)::DOUBLE AS score FROM wide JOIN terms ON terms.term = found GROUP BY query, id QUALIFY row_number() OVER (PARTITION BY query ORDER BY round(sum(weight * tf), 4) DESC, id) <= 10")
+_INDEX = "list_filter(regexp_split_to_array(lower(coalesce({t}, '')), '" + X.INDEX_BREAKS.replace("'", "''").replace("{", "{{").replace("}", "}}") + "'), lambda w: length(w) > 1 AND w NOT IN (" + ", ".join(map(repr, X.INDEX_STOPWORDS)) + "))"
+#: DuckDB counts edits in bytes: each accented letter of the texts (lower-case) becomes a capital.
+_BYTES = "translate({t}, 'àâäáãçéèêëíìîïñóòôöõúùûüß', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')"
+_FUZZY = f"""WITH fields AS (SELECT doc_id AS id, 'content' AS field, 1.0::DOUBLE AS boost, {_INDEX.format(t='text')} AS w FROM documents UNION ALL SELECT doc_id, 'name', 2.0, {_INDEX.format(t="split_part(text, chr(10), 1)")} FROM documents),
+size AS (SELECT field, sum(len(list_distinct(w))) / (SELECT count(*) FROM documents) AS mean FROM fields GROUP BY field),
+post AS (SELECT id, field, boost, n, term, count(*) AS tf FROM (SELECT id, field, boost, len(list_distinct(w)) AS n, unnest(w) AS term FROM fields) GROUP BY ALL),
+idf AS (SELECT field, term, ln(1 + ((SELECT count(*) FROM documents) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM post GROUP BY field, term),
+asked AS (SELECT query, term, count(*) AS qf FROM (SELECT item_id AS query, unnest({_INDEX.format(t='text')}) AS term FROM benchmark) GROUP BY ALL),
+vocab AS (SELECT found, {_BYTES.format(t='found')} AS f FROM (SELECT DISTINCT term AS found FROM post)), first AS (SELECT term, least(round(0.2 * length(term)), 6) AS most, {_BYTES.format(t='term')} AS t FROM (SELECT DISTINCT term FROM asked)),
+pair AS (SELECT term, found, CASE WHEN starts_with(found, term) THEN -1 ELSE levenshtein(t, f) END AS far FROM first, vocab WHERE starts_with(found, term) OR (abs(length(term) - length(found)) <= most AND levenshtein(t, f) <= most)),
+wide AS (SELECT term, found, CASE WHEN term = found THEN 1.0::DOUBLE WHEN far < 0 THEN 0.375 * length(found) / (length(found) + 0.3 * (length(found) - length(term))) ELSE 0.45 * length(found) / (length(found) + far) END AS weight FROM pair),
+hit AS (SELECT id, p.term AS found, sum(boost * idf * (0.5 + tf * 2.2 / (tf + 1.2 * (0.3 + 0.7 * n / mean)))) AS part FROM post p JOIN idf i ON p.term = i.term AND p.field = i.field JOIN size s ON p.field = s.field GROUP BY id, p.term),
+answer AS (SELECT term, id, sum(weight * part) AS part FROM hit JOIN wide USING (found) GROUP BY term, id),
+total AS (SELECT query, id, round(sum(qf * part) * count(*), 6) AS score FROM answer JOIN asked USING (term) GROUP BY query, id)
+SELECT query, id, score::DOUBLE AS score, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM total QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, id) <= 20"""
+
+
+@query("s_bm25_fuzzy", _FUZZY)
 def s_bm25_fuzzy(t):
-    """Words within a fifth of their length of a query's, or that begin with one; the stated queries meet the vocabulary by length and by prefix."""
-    terms = _terms(t)
-    vocab = terms.select(F.col("term").alias("found")).distinct()
-    first = _asked(t).where((F.col("query") % 20 == 0) & (F.length("term") >= 4)).distinct()
-    far = F.round(0.2 * F.length("term")).cast("int")
-    near = first.withColumn("n", F.explode(F.sequence(F.length("term") - far, F.length("term") + far))).join(vocab.withColumn("n", F.length("found")), "n").where(F.levenshtein("found", "term") <= far)
-    begin = first.withColumn("head", F.substring("term", 1, 4)).join(vocab.withColumn("head", F.substring("found", 1, 4)), "head").where(F.startswith("found", F.col("term")))
-    weight = F.when(F.col("found") == F.col("term"), 1.0).when(F.startswith("found", F.col("term")), 0.75).otherwise(0.5)
-    wide = near.select("query", "term", "found").union(begin.select("query", "term", "found")).distinct().withColumn("weight", weight)
-    scores = wide.select("query", F.col("found").alias("term"), "weight").join(terms, "term").groupBy("query", "id").agg(F.round(F.sum(F.col("weight") * F.col("tf")), 4).alias("score"))
-    return S.ranked(scores, 10).drop("rank")
+    """Every question against contents and first lines (which count double), with words near the asked ones and words that begin with them."""
+    docs = t.documents.select(F.col("doc_id").alias("id"), "text")
+    post = N.field_postings(docs, {"content": X.index_tokens(F.col("text")), "name": X.index_tokens(F.split("text", "\n")[0])})
+    asked = t.benchmark.select(F.col("item_id").alias("query"), F.explode(X.index_tokens(F.col("text"))).alias("term")).groupBy("query", "term").agg(F.count("*").alias("qf"))
+    return N.forgiving_search(post, asked, {"content": 1.0, "name": 2.0}, t.documents.count(), 20)
 
 
 def _lloyd_sql(rounds: int) -> str:
