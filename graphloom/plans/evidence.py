@@ -10,6 +10,7 @@ from graphloom.functions import text as X
 from graphloom.lineage import cut
 from graphloom.operators import graph as G
 from graphloom.operators import matching as M
+from graphloom.operators import pairs as P
 from graphloom.operators import ranking as R
 from graphloom.operators import search as S
 from graphloom.operators import symbols as Z
@@ -140,13 +141,23 @@ def join_shared_references(t):
     return t.lineitem.groupBy("l_suppkey").agg(F.count_distinct("l_partkey").alias("parts")).where("parts > 1")
 
 
-@query("join_method_similarity", "WITH b AS (SELECT a.p_partkey AS a, b.p_partkey AS b, 0.4 AS s FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey UNION ALL SELECT a.p_partkey, b.p_partkey, 0.3 FROM part a JOIN part b ON a.p_type = b.p_type AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey) SELECT a, b, round(sum(s), 6)::DOUBLE AS score FROM b GROUP BY a, b")
-def join_method_similarity(t):
-    def block(column: str, weight: float) -> DataFrame:
-        p = t.part.select("p_partkey", column, "p_size")
-        return p.toDF("a", column, "p_size").join(p.toDF("b", column, "p_size"), [column, "p_size"]).where("a < b").select("a", "b", F.lit(weight).alias("s"))
+#: Methods by class, folder, first part of the name and parameters; weights of their agreement (fixed values).
+METHOD_WEIGHTS, SIMILAR = {"class": 0.2, "folder": 0.2, "prefix": 0.15, "params": 0.15}, 0.3
+_METHODS = """WITH methods AS (SELECT p_partkey AS id, p_brand || '.' || p_type AS class, p_partkey // 20 AS folder, split_part(replace(p_name, ' ', '_'), '_', 1) AS prefix, [split_part(p_name, ' ', 2) || p_size, p_type || p_size] AS params FROM part),
+pairs AS (SELECT a.id AS a, b.id AS b, round(0.2 * coalesce(a.class = b.class, false)::INT + 0.2 * coalesce(a.folder = b.folder, false)::INT + 0.15 * coalesce(a.prefix = b.prefix, false)::INT + 0.15 * coalesce(list_has_any(a.params, b.params), false)::INT, 6)::DOUBLE AS score FROM methods a JOIN methods b ON a.id < b.id)"""
+
+
+def similar_methods(t: Tables) -> DataFrame:
+    name = F.split("p_name", " ")
+    params = F.array(F.concat(name[1], F.col("p_size")), F.concat("p_type", F.col("p_size")))
+    methods = t.part.select("p_partkey", F.concat_ws(".", "p_brand", "p_type").alias("class"), F.floor(F.col("p_partkey") / 20).alias("folder"), name[0].alias("prefix"), params.alias("params"))
+    return P.agreeing(methods, "p_partkey", METHOD_WEIGHTS, SIMILAR)
 
-    return block("p_brand", 0.4).union(block("p_type", 0.3)).groupBy("a", "b").agg(F.round(F.sum("s"), 6).alias("score"))
+
+@query("join_method_similarity", _METHODS + " SELECT * FROM pairs WHERE score >= 0.3")
+def join_method_similarity(t):
+    """Pairs of methods that agree in two of four kinds or more; rows meet on two kinds at once."""
+    return similar_methods(t)
 
 
 # ---- aggregations ------------------------------------------------------------------

@@ -18,7 +18,7 @@ from graphloom.operators import search as S
 from graphloom.operators import vectors as V
 from graphloom.operators import wordindex as N
 from graphloom.plans.book import Tables, query
-from graphloom.plans.evidence import g_paths_intermediate
+from graphloom.plans.evidence import _METHODS, g_paths_intermediate, similar_methods
 from graphloom.plans.graphs import _BACK, _FWD, CALLS, CM, FLOW, _calls, g_paths_entry_forward, g_paths_leaf_to_entry
 from graphloom.plans.projects import DOMAINS, _domain, _first
 from graphloom.plans.relational import _SIDES, with_partitions
@@ -95,12 +95,10 @@ def join_seed_nodes(t):
     return R.capped(hits, "ask", [F.desc("hits"), F.col("node")], 6)
 
 
-@query("q_similar_methods", "WITH s AS (SELECT a.p_partkey AS a, b.p_partkey AS b, 0.3 + 0.4 * (a.p_brand = b.p_brand)::INT + 0.3 * (a.p_type = b.p_type)::INT AS score FROM part a JOIN part b ON a.p_name = b.p_name AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey) SELECT a AS method, b AS other, round(score, 4)::DOUBLE AS score FROM s UNION ALL SELECT b, a, round(score, 4)::DOUBLE FROM s")
+@query("q_similar_methods", _METHODS + " SELECT a AS method, b AS other, score FROM pairs WHERE score >= 0.3 UNION ALL SELECT b, a, score FROM pairs WHERE score >= 0.3")
 def q_similar_methods(t):
-    """Pairs of at least 0.3 in both directions, blocked by name and size."""
-    p = t.part.select("p_name", "p_size", "p_partkey", "p_brand", "p_type")
-    x = p.toDF("p_name", "p_size", "a", "ba", "ta").join(p.toDF("p_name", "p_size", "b", "bb", "tb"), ["p_name", "p_size"]).where("a < b")
-    x = x.select("a", "b", F.round(0.3 + 0.4 * (F.col("ba") == F.col("bb")).cast("int") + 0.3 * (F.col("ta") == F.col("tb")).cast("int"), 4).alias("score"))
+    """The similar methods of each, in both directions."""
+    x = cut(similar_methods(t), "similar")
     return x.select(F.col("a").alias("method"), F.col("b").alias("other"), "score").union(x.select("b", "a", "score"))
 
 
