@@ -14,6 +14,7 @@ from graphloom.operators import pairs as P
 from graphloom.operators import ranking as R
 from graphloom.operators import search as S
 from graphloom.operators import symbols as Z
+from graphloom.operators import traces as T
 from graphloom.plans.book import Tables, query
 from graphloom.plans.graphs import _DEG, _SIDES, CALLS, CM, FLOW, RE, _calls, _extends, _flow, _starts
 from graphloom.plans.relational import degrees, with_partitions
@@ -322,10 +323,13 @@ def g_heritage(t):
     return x.select(F.col("n_name").alias("child"), F.col("r_name").alias("parent"), F.lit("EXTENDS").alias("type"), F.lit(1.0).alias("confidence"))
 
 
-@query("g_path_subsequence", "SELECT l_orderkey, list_sort(list(l_partkey)) AS parts FROM lineitem GROUP BY 1 HAVING bool_or(l_partkey % 7 = 0) AND bool_or(l_partkey % 5 = 0)".replace("list_sort(list(l_partkey)) AS parts", "count(*) AS n"))
+@query("g_path_subsequence", "WITH paths AS (SELECT l_orderkey AS id, list(l_partkey ORDER BY l_linenumber, l_partkey) AS path FROM lineitem GROUP BY 1), asked AS (SELECT id AS ask, list_filter(path, lambda x, i: i % 2 = 1) AS nodes FROM paths WHERE id % 20 = 0) SELECT ask, id FROM asked JOIN paths ON list_has_all(path, nodes) WHERE list_reduce(list_prepend(1::BIGINT, path), lambda done, x: CASE WHEN done <= len(nodes) AND nodes[done] = x THEN done + 1 ELSE done END) = len(nodes) + 1")
 def g_path_subsequence(t):
-    g = t.lineitem.groupBy("l_orderkey").agg(F.count("*").alias("n"), F.bool_or(F.col("l_partkey") % 7 == 0).alias("x"), F.bool_or(F.col("l_partkey") % 5 == 0).alias("y"))
-    return g.where("x and y").select("l_orderkey", "n")
+    """Each second node of the stated orders' paths, looked for in order among all paths."""
+    line = F.struct("l_linenumber", "l_partkey")
+    paths = cut(t.lineitem.groupBy(F.col("l_orderkey").alias("id")).agg(F.array_sort(F.collect_list(line)).alias("x")).select("id", F.col("x.l_partkey").alias("path")), "paths")
+    asked = paths.where("id % 20 = 0").select(F.col("id").alias("ask"), F.filter("path", lambda x, i: i % 2 == 0).alias("nodes"))
+    return T.subsequences(asked, paths)
 
 
 # ---- search ------------------------------------------------------------------------------------

@@ -15,6 +15,7 @@ from graphloom.operators import graph as G
 from graphloom.operators import imports as I
 from graphloom.operators import ranking as R
 from graphloom.operators import search as S
+from graphloom.operators import traces as T
 from graphloom.operators import vectors as V
 from graphloom.operators import wordindex as N
 from graphloom.plans.book import Tables, query
@@ -131,13 +132,10 @@ _TRACES = "WITH step AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem), t
 
 @query("set_dedup_traces", _TRACES + ", places AS (SELECT path AS long, unnest(path) AS x, unnest(range(1, len(path) + 1)) AS i FROM trace) SELECT path FROM trace t WHERE NOT EXISTS (SELECT 1 FROM places WHERE x = t.path[1] AND len(long) > len(t.path) AND long[i:i + len(t.path) - 1] = t.path)")
 def set_dedup_traces(t):
-    """Traces that are no part of a longer one; long traces are only looked at where the first node stands."""
+    """Traces that are no part of a longer one."""
     step = t.lineitem.select("l_orderkey", "l_partkey").distinct()
-    whole = step.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("l_partkey")).alias("path")).select("path")
-    trace = cut(whole.union(whole.select(F.slice("path", 1, 2))).distinct(), "traces")
-    at = trace.select(F.col("path").alias("long"), F.posexplode("path").alias("i", "x"))
-    inside = (F.col("x") == F.col("path")[0]) & (F.size("long") > F.size("path")) & (F.slice("long", F.col("i") + 1, F.size("path")) == F.col("path"))
-    return trace.join(at, inside, "left_anti")
+    whole = cut(step.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("l_partkey")).alias("path")).select("path"), "orders")
+    return T.longest(whole.union(whole.select(F.slice("path", 1, 2))))
 
 
 #: Phrases that open a new topic (fixed values).
