@@ -20,6 +20,7 @@ from graphloom.plans.graphs import _DEG, _SIDES, CALLS, CM, FLOW, RE, _calls, _e
 from graphloom.plans.relational import degrees, with_partitions
 from graphloom.plans.retrieval import _BM25, _TERMS, _TOK, _asked, _terms
 from graphloom.sources import bindings as B
+from graphloom.sources import frameworks as Y
 from graphloom.sources.bindings import with_
 
 # ---- projections -------------------------------------------------------------
@@ -287,10 +288,26 @@ def g_paths_intermediate(t):
     return G.paths(f.select("caller", "callee"), mid, 10)
 
 
-@query("g_framework_detect", "SELECT page_id, CASE WHEN url LIKE '%/api/%' THEN 3.0 WHEN url LIKE '%index%' THEN 2.0 WHEN regexp_matches(url, '[0-9]+') THEN 1.5 ELSE 1.0 END::DOUBLE AS factor FROM pages")
+#: A part's file lies in one of these folders and ends in one of these ways (values of the binding).
+FILE_FOLDERS = ("/pages/", "/pages/api/", "/App/", "/app/api/", "/routes/", "/http/controllers/", "/handlers/", "/api/", "/services/", "/views/", "/models/", "/sources/", "/bin/", "/lib/")
+FILE_ENDS = ("_page.tsx", "route.ts", ".js", "_views.py", "/__init__.py", ".py", "Controller.java", ".java", ".cs", "/main.go", ".go", ".rs", "/main.cpp", ".php", "App.swift", ".swift", "\\index.js", ".md")
+
+
+def _fixed(values: tuple[str, ...]) -> str:
+    return ", ".join(f"'{x}'" for x in values)
+
+
+_FILES = f"files AS (SELECT p_partkey, 'src' || ([{_fixed(FILE_FOLDERS)}])[p_size % {len(FILE_FOLDERS)} + 1] || replace(p_name, ' ', '_') || ([{_fixed(FILE_ENDS)}])[p_partkey % {len(FILE_ENDS)} + 1] AS path FROM part)"
+_RULES = "rules AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{fo}', '{en}', '{ne}', '{ba}', '{fw}', {fa}::DOUBLE, '{re}')" for i, (fo, en, ne, ba, fw, fa, re) in enumerate(Y.RULES)) + ") r(n, folders, ends, needed, barred, framework, factor, reason))"
+
+
+@query("g_framework_detect", f"WITH {_FILES}, {_RULES}, low AS (SELECT p_partkey, path, '/' || ltrim(replace(lower(path), chr(92), '/'), '/') AS p FROM files), held AS (SELECT p_partkey, min(n) AS n FROM low JOIN rules ON (folders = '' OR len(list_filter(string_split(folders, ' '), lambda x: contains(p, x))) > 0) AND (ends = '' OR len(list_filter(string_split(ends, ' '), lambda x: ends_with(p, x))) > 0) AND (needed = '' OR contains(p, needed)) AND (barred = '' OR len(list_filter(string_split(barred, ' '), lambda x: contains(p, x))) = 0) GROUP BY 1) SELECT p_partkey, path, framework, coalesce(factor, 1.0)::DOUBLE AS factor, reason FROM low LEFT JOIN held USING (p_partkey) LEFT JOIN rules USING (n)")
 def g_framework_detect(t):
-    u = F.col("url")
-    return t.pages.select("page_id", F.when(u.contains("/api/"), 3.0).when(u.contains("index"), 2.0).when(u.rlike("[0-9]+"), 1.5).otherwise(1.0).alias("factor"))
+    """The framework that a part's path tells, by the first of the ordered rules."""
+    pick = lambda values, i: F.get(F.array(*[F.lit(x) for x in values]), (F.col(i) % len(values)).cast("int"))
+    path = F.concat(F.lit("src"), pick(FILE_FOLDERS, "p_size"), F.translate("p_name", " ", "_"), pick(FILE_ENDS, "p_partkey"))
+    found = t.part.select("p_partkey", path.alias("path")).withColumn("x", Y.framework(Y.normal_path(F.col("path"))))
+    return found.select("p_partkey", "path", "x.framework", "x.factor", "x.reason")
 
 
 @query("g_explore", CM + "SELECT node, part, func, (SELECT count(*) FROM calls WHERE caller = node) AS outs, (SELECT count(*) FROM calls WHERE callee = node) AS ins FROM member WHERE part = 'Brand#11'")
