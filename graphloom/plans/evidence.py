@@ -15,10 +15,11 @@ from graphloom.operators import ranking as R
 from graphloom.operators import search as S
 from graphloom.operators import symbols as Z
 from graphloom.operators import traces as T
+from graphloom.operators import units as U
 from graphloom.plans.book import Tables, query
 from graphloom.plans.graphs import _DEG, _SIDES, CALLS, CM, FLOW, RE, _calls, _extends, _flow, _starts
 from graphloom.plans.relational import degrees, with_partitions
-from graphloom.plans.retrieval import _BM25, _TERMS, _TOK, _asked, _terms
+from graphloom.plans.retrieval import _BM25, _DEFAULT, _TERMS, _TOK, _asked, _terms
 from graphloom.sources import bindings as B
 from graphloom.sources import frameworks as Y
 from graphloom.sources.bindings import with_
@@ -474,10 +475,17 @@ def s_overlap_signal(t):
     return top.join(k, ["query", "id"]).join(m, "query").select("query", "id", F.round((F.col("hits") + F.col("hits") / F.col("m")) * 0.5, 6).alias("signal"))
 
 
-@query("s_unit_relevance", "SELECT conv_id, turn, round((CASE WHEN role = 'user' THEN 2 ELSE 1 END + 1.5 * (length(text) > 100)::INT) * greatest(0.5, 1 - 0.1 * turn), 6)::DOUBLE AS relevance FROM conversations")
+_D = "list_distinct(" + _DEFAULT + ")"
+
+
+@query("s_unit_relevance", f"WITH turns AS (SELECT conv_id AS id, turn, {_DEFAULT.format(t='text')} AS w, max(turn) OVER (PARTITION BY conv_id) AS final FROM conversations), words AS (SELECT DISTINCT id, 1.0 AS x, unnest(w) AS word FROM turns UNION ALL SELECT DISTINCT id, 2.0, unnest(w) FROM turns WHERE turn = 0 UNION ALL SELECT DISTINCT id, 1.5, unnest(w) FROM turns WHERE turn = final), asked AS (SELECT item_id AS query, unnest({_D.format(t='text')}) AS word FROM benchmark), s AS (SELECT query, id, sum(x)::DOUBLE AS total FROM words JOIN asked USING (word) GROUP BY ALL), r AS (SELECT query, id, round(total * greatest(0.5, 1 - 0.1 * (7 - final)), 6)::DOUBLE AS score FROM s JOIN (SELECT DISTINCT id, final FROM turns) USING (id)) SELECT query, id, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM r QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, id) <= 5")
 def s_unit_relevance(t):
-    score = F.when(F.col("role") == "user", 2).otherwise(1) + 1.5 * (F.length("text") > 100).cast("int")
-    return t.conversations.select("conv_id", "turn", F.round(score * F.greatest(F.lit(0.5), 1 - 0.1 * F.col("turn")), 6).alias("relevance"))
+    """Every question against all conversations: words of all turns, of the first (topic) and of the last (summary); each turn short of eight is a day of age."""
+    first, last = F.struct("turn", "w"), F.max("turn")
+    turns = t.conversations.select(F.col("conv_id").alias("id"), "turn", X.default_tokens(F.col("text")).alias("w"))
+    units = turns.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("w"))).alias("keywords"), F.min(first).alias("a"), F.max(first).alias("z"), (7 - last).alias("days"))
+    units = units.select("id", "keywords", F.when(F.col("a.turn") == 0, F.col("a.w")).alias("topic"), F.col("z.w").alias("summary"), "days")
+    return U.relevant(units, t.benchmark.select(F.col("item_id").alias("query"), X.default_tokens(F.col("text")).alias("words")), 5)
 
 
 @query("s_evidence_verdict", "SELECT user_id, bool_or(event_type = 'purchase') AND NOT bool_or(event_type = 'error' AND value > 90) AS passed FROM events GROUP BY user_id")
