@@ -88,9 +88,9 @@ def join_graph_context(t):
     return out.union(hit.join(two, ["query", "id"], "left_anti").select("query", "id", F.lit("none"), F.lit("")))
 
 
-@query("join_seed_nodes", "WITH asked AS (SELECT p_partkey AS ask, unnest(string_split(p_name, ' ')) AS w FROM part WHERE p_partkey % 50 = 0), nodes AS (SELECT p_partkey AS node, unnest(list_distinct(string_split(p_name, ' '))) AS w FROM part) SELECT ask, node, count(*) AS hits FROM asked JOIN nodes USING (w) WHERE ask <> node GROUP BY ask, node QUALIFY row_number() OVER (PARTITION BY ask ORDER BY count(*) DESC, node) <= 6")
+@query("join_seed_nodes", "WITH asked AS (SELECT p_partkey AS ask, unnest(string_split(p_name, ' ')) AS w FROM part WHERE p_partkey % 20 = 0), nodes AS (SELECT p_partkey AS node, unnest(list_distinct(string_split(p_name, ' '))) AS w FROM part) SELECT ask, node, count(*) AS hits FROM asked JOIN nodes USING (w) WHERE ask <> node GROUP BY ask, node QUALIFY row_number() OVER (PARTITION BY ask ORDER BY count(*) DESC, node) <= 6")
 def join_seed_nodes(t):
-    asked = t.part.where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("ask"), F.explode(F.split("p_name", " ")).alias("w"))
+    asked = t.part.where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("ask"), F.explode(F.split("p_name", " ")).alias("w"))
     nodes = t.part.select(F.col("p_partkey").alias("node"), F.explode(F.array_distinct(F.split("p_name", " "))).alias("w"))
     hits = asked.join(nodes, "w").where("ask <> node").groupBy("ask", "node").agg(F.count("*").alias("hits"))
     return R.capped(hits, "ask", [F.desc("hits"), F.col("node")], 6)
@@ -512,14 +512,14 @@ def q_evidence_chunks(t):
 def _skill(score: Column, least: float, t: Tables) -> DataFrame:
     """Scores of parts for the stated requirements, every fiftieth part, that share a word with them."""
     fields = lambda d: d.select("p_partkey", F.split("p_name", " ").alias("n"), "p_type", "p_brand", "p_size")
-    ask, have = fields(t.part.where("p_partkey % 50 = 0")).toDF("ask", "n", "ty", "br", "sz"), fields(t.part).toDF("id", "m", "type", "brand", "size")
+    ask, have = fields(t.part.where("p_partkey % 20 = 0")).toDF("ask", "n", "ty", "br", "sz"), fields(t.part).toDF("id", "m", "type", "brand", "size")
     pairs = ask.withColumn("w", F.explode("n")).join(have.withColumn("w", F.explode("m")), "w").where("ask <> id").drop("w").distinct()
     x = pairs.select("ask", "id", F.round(score, 6).alias("score")).where(F.col("score") >= least)
     return R.capped(x, "ask", [F.desc("score"), F.col("id")], 4)
 
 
 def _skill_sql(score: str, least: float) -> str:
-    return f"WITH pairs AS (SELECT a.p_partkey AS ask, b.p_partkey AS id, string_split(a.p_name, ' ') AS n, string_split(b.p_name, ' ') AS m, a.p_type AS ty, b.p_type AS type, a.p_brand AS br, b.p_brand AS brand, a.p_size AS sz, b.p_size AS size FROM part a JOIN part b ON a.p_partkey % 50 = 0 AND a.p_partkey <> b.p_partkey AND len(list_intersect(string_split(a.p_name, ' '), string_split(b.p_name, ' '))) > 0), s AS (SELECT ask, id, round({score}, 6)::DOUBLE AS score FROM pairs) SELECT ask, id, score FROM s WHERE score >= {least} QUALIFY row_number() OVER (PARTITION BY ask ORDER BY score DESC, id) <= 4"
+    return f"WITH pairs AS (SELECT a.p_partkey AS ask, b.p_partkey AS id, string_split(a.p_name, ' ') AS n, string_split(b.p_name, ' ') AS m, a.p_type AS ty, b.p_type AS type, a.p_brand AS br, b.p_brand AS brand, a.p_size AS sz, b.p_size AS size FROM part a JOIN part b ON a.p_partkey % 20 = 0 AND a.p_partkey <> b.p_partkey AND len(list_intersect(string_split(a.p_name, ' '), string_split(b.p_name, ' '))) > 0), s AS (SELECT ask, id, round({score}, 6)::DOUBLE AS score FROM pairs) SELECT ask, id, score FROM s WHERE score >= {least} QUALIFY row_number() OVER (PARTITION BY ask ORDER BY score DESC, id) <= 4"
 
 
 _JN = "len(list_intersect(n, m)) / len(list_distinct(list_concat(n, m)))"
