@@ -50,9 +50,7 @@ def st_state_progress(t):
 
 def _messages(t: Tables) -> DataFrame:
     """The conversations as a stream."""
-    path = f"{t.sf_dir}/conversations.parquet"
-    folder, _, name = path.rpartition("/")
-    return t.spark.readStream.schema(t.conversations.schema).option("pathGlobFilter", name).parquet(folder)
+    return flows.table_stream(t.spark, f"{t.sf_dir}/conversations.parquet")
 
 
 @query("st_pending_question", "SELECT conv_id, max(turn) AS turn, arg_max(text, turn) AS text FROM conversations c WHERE role = 'user' AND NOT EXISTS (SELECT 1 FROM conversations a WHERE a.conv_id = c.conv_id AND a.role = 'assistant' AND a.turn > c.turn) GROUP BY conv_id")

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from urllib.parse import urlsplit
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -17,14 +18,21 @@ from pyspark.sql import functions as F
 from graphloom.lineage import work_dir
 
 
-def event_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
-    """A stream over a folder or file of events; ``ts`` becomes a timestamp of the session's zone."""
-    schema = spark.read.parquet(path).schema
-    folder, _, name = path.rpartition("/")
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", name)
+def table_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
+    """A stream over a table: one file, or all files of a folder."""
+    table = spark.read.parquet(path)
+    reader = spark.readStream.schema(table.schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
+    if [urlsplit(f).path for f in table.inputFiles()] == [urlsplit(path).path]:  # Spark streams folders only
+        folder, _, name = path.rpartition("/")
+        return reader.option("pathGlobFilter", name).parquet(folder)
+    return reader.parquet(path)
+
+
+def event_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
+    """A stream over a folder or file of events; ``ts`` becomes a timestamp of the session's zone."""
+    return table_stream(spark, path, files_per_trigger).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def tumbling(events: DataFrame, width: str, late: str = "1 day") -> DataFrame:
