@@ -40,16 +40,29 @@ def json_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return doc.select(F.explode("nodes").alias("x")).select("x.*"), doc.select(F.explode("edges").alias("x")).select("x.*")
 
 
+#: Bytes of unzipped files that are passed on together.
+UNZIPPED = 4 << 20
+
+
 def unzipped(archives: DataFrame) -> DataFrame:
     """(archive, path, content) of the files in zip archives (path, content), an archive a row."""
+    names = ["archive", "path", "content"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for name, raw in zip(pdf["path"], pdf["content"], strict=True):
                 with zipfile.ZipFile(io.BytesIO(raw)) as z:
+                    held, size = [], 0
                     for i in z.infolist():
-                        if not i.is_dir():
-                            yield pd.DataFrame({"archive": [name], "path": [i.filename], "content": [z.read(i).decode("utf-8", "replace")]})
+                        if i.is_dir():
+                            continue
+                        held.append((name, i.filename, z.read(i).decode("utf-8", "replace")))
+                        size += i.file_size
+                        if size >= UNZIPPED or len(held) >= 1000:
+                            yield pd.DataFrame(held, columns=names)
+                            held, size = [], 0
+                    if held:
+                        yield pd.DataFrame(held, columns=names)
 
     return archives.select("path", "content").mapInPandas(run, "archive string, path string, content string")
 
@@ -59,8 +72,16 @@ def archived(spark: SparkSession, path: str) -> DataFrame:
     return unzipped(spark.read.format("binaryFile").load(path))
 
 
-def zipped(files: DataFrame, name: Column) -> DataFrame:
-    """(path, content): zip archives of files (path, content), those with one name in one archive."""
+#: Files of an archive, about.
+ARCHIVED = 4096
+
+
+def zipped(files: DataFrame, name: Column, most: int = ARCHIVED) -> DataFrame:
+    """(path, content): zip archives of files (path, content), those with one name in one archive.
+
+    More than ``most`` files of a name are dealt out, by a hash of their paths,
+    over archives of about that many, of the same name; no task gets all.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = io.BytesIO()
@@ -69,7 +90,10 @@ def zipped(files: DataFrame, name: Column) -> DataFrame:
                 z.writestr(p, c)
         return pd.DataFrame({"path": [pdf["name"].iloc[0]], "content": [out.getvalue()]})
 
-    return files.select(name.alias("name"), "path", "content").groupBy("name").applyInPandas(run, "path string, content binary")
+    own = files.select(name.alias("name"), "path", "content")
+    parts = own.groupBy(F.col("name").alias("_of")).agg(F.ceil(F.count("*") / most).alias("parts"))
+    dealt = own.join(parts, F.col("name").eqNullSafe(F.col("_of"))).withColumn("part", F.pmod(F.xxhash64("path"), F.col("parts")))
+    return dealt.select("name", "part", "path", "content").groupBy("name", "part").applyInPandas(run, "path string, content binary")
 
 
 def _symbols(path: str, content: str) -> list[tuple]:
