@@ -15,9 +15,9 @@ from graphloom.llm import chosen_path, cluster, mixing, pii_crf, piece_transduce
 
 
 #: Rows of an Arrow batch: texts go through Python workers in batches of a few MB, and a worker holds some copies of one.
-BATCH_ROWS = 2_000
+BATCH_ROWS = 1_000
 #: Parts of texts whose ids an encoding task keeps: executors hold much else by then.
-CACHE = 250_000
+CACHE = 60_000
 
 
 def small_batches(spark: SparkSession) -> None:
