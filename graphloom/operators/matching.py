@@ -149,8 +149,24 @@ class Matcher:
                 values.append(np.full(len(p), value))
         if not plans:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        p, at = np.unique(np.concatenate(plans), return_inverse=True)
-        return p, np.bincount(at, np.concatenate(values)).astype(np.int64) + 2 * path.endswith(CODE)
+        total = np.bincount(np.concatenate(plans), np.concatenate(values)).astype(np.int64)
+        p = np.flatnonzero(total)  # a feature that is there has a value above 0
+        return p, total[p] + 2 * path.endswith(CODE)
+
+
+class Rounded:
+    """Scores of tenths by a plan's weight, to four places, in a table that grows with the tenths that come."""
+
+    def __init__(self, weights: list[float]):
+        self.kinds = sorted(set(weights))
+        self.kind = np.array([self.kinds.index(w) for w in weights], np.int64)
+        self.table = np.zeros((len(self.kinds), 0))
+
+    def of(self, plans: np.ndarray, tenths: np.ndarray) -> np.ndarray:
+        most = int(tenths.max())
+        if most >= self.table.shape[1]:
+            self.table = np.array([[round(t / 10 * w, 4) for t in range(2 * most + 1)] for w in self.kinds])
+        return self.table[self.kind[plans], tenths]
 
 
 def _best(plans: list[tuple], top: int):
@@ -158,21 +174,34 @@ def _best(plans: list[tuple], top: int):
     of, weight = [queries[p[0]] for p in plans], [p[3] for p in plans]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(plans)
+        matcher, rounded, query = Matcher(plans), Rounded(weight), np.array(of, np.int64)
         best: list[list[tuple]] = [[] for _ in queries]
+        # What a query's last row has, once it has ``top``: only better documents are looked at one by one.
+        floor, size, last = np.full(len(queries), -1.0), np.zeros(len(queries), np.int64), np.zeros(len(queries), np.int64)
         for batch in batches:
             for i, path, text in zip(*(batch.column(c).to_pylist() for c in ("id", "path", "text")), strict=True):
-                found: dict[int, tuple[float, int]] = {}
-                for p, tenths in zip(*matcher.scores(path, text), strict=True):
-                    key = (round(tenths / 10 * weight[p], 4), -int(p))  # of equal plans the first
-                    if key > found.get(of[p], (0.0, 1)):
-                        found[of[p]] = key
-                for q, (score, p) in found.items():
-                    row = (score, -len(path), -i, p)
-                    if len(best[q]) < top:
-                        heapq.heappush(best[q], row)
-                    elif row > best[q][0]:
-                        heapq.heapreplace(best[q], row)
+                p, tenths = matcher.scores(path, text)
+                if not len(p):
+                    continue
+                q, score = query[p], rounded.of(p, tenths)
+                order = np.lexsort((p, -score, q)) if np.any(q[1:] < q[:-1]) else None
+                if order is not None:
+                    p, q, score = p[order], q[order], score[order]
+                first = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]]))
+                top_score, asked = np.maximum.reduceat(score, first), q[first]
+                n = len(path)
+                ahead = (top_score > floor[asked]) | ((top_score == floor[asked]) & ((n < size[asked]) | ((n == size[asked]) & (i < last[asked]))))
+                ends = np.append(first[1:], len(p))
+                for k in np.flatnonzero(ahead & (top_score > 0)).tolist():
+                    a, x = asked[k], top_score[k]
+                    plan = int(p[first[k] + int(np.argmax(score[first[k] : ends[k]] == x))])  # of equal plans the first
+                    row = (float(x), -n, -i, -plan)
+                    if len(best[a]) < top:
+                        heapq.heappush(best[a], row)
+                    elif row > best[a][0]:
+                        heapq.heapreplace(best[a], row)
+                    if len(best[a]) == top:
+                        floor[a], size[a], last[a] = best[a][0][0], -best[a][0][1], -best[a][0][2]
         rows = [(plans[p][0], -i, plans[p][1], plans[p][2], score, -size) for q in best for score, size, i, p in ((s, z, i, -x) for s, z, i, x in q)]
         if rows:
             q, i, plan, kind, score, size = zip(*rows, strict=True)
