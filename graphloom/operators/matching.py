@@ -15,10 +15,16 @@ query's is the best of its plans' by weight.  Values are whole tenths, so sums
 are exact.  Places do not overlap and need not be whole words.
 
 All strings of a round of queries go into one automaton (goto and failure
-links); a task runs it over its texts and paths and keeps the best documents
-of each query, which are merged by rank.  So texts stay where they are, each is
-read once a round, and no pair of a query and a document is shuffled that is
-not among a task's best.  Documents that share nothing with a plan have no row.
+links); a task runs it over its texts and paths.  Features that more than
+``SHARED`` plans have are common: plans of a round with the same common features
+and weight are a class, and a document's sum of them is made once a class.  It is
+a document's score for all plans of the class but those that it shares a rarer
+feature with, and never more than theirs.  So a task keeps the best documents of
+each class, and of each query among those with a rarer feature; both are merged
+by rank, and only then a class's best meet its queries.  A query's best by its
+plans are among these, as no more documents go before one in its class, or by one
+plan, than by the query's best.  Texts stay where they are, each is read once a
+round.  Documents that share nothing with a plan have no row.
 """
 
 from __future__ import annotations
@@ -32,8 +38,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-#: Queries of a round.
-ROUND = 2048
+from graphloom.lineage import cut
+
+#: Queries of a round; plans that a feature must have to be common.
+ROUND, SHARED = 16384, 128
 #: Words that no plan looks for (fixed values).
 STOPWORDS = (
     "the", "and", "for", "with", "from", "that", "this", "what", "how", "why", "where", "when",
@@ -82,19 +90,49 @@ def query_plans(asked: DataFrame) -> DataFrame:
     return every.select("query", F.posexplode(F.slice(firsts, 1, 6)).alias("plan", "p")).select("query", F.col("plan").cast("long").alias("plan"), "p.kind", "p.weight", "p.text")
 
 
-class Matcher:
-    """The automaton of plans (query, plan, kind, weight, text, terms, identifiers, hints), and the plans of each feature."""
+class Uses:
+    """The features of plans (query, plan, kind, weight, text, terms, identifiers, hints), and the classes of plans by their common ones.
 
-    def __init__(self, plans: list[tuple]):
-        import ahocorasick
+    ``members`` has the plan numbers of each class, ``rare`` of each feature those of its plans if it is not common.
+    """
 
+    def __init__(self, plans: list[tuple], shared: int):
         features: dict[tuple[str, str], int] = {}
-        uses: list[tuple[int, int]] = []
+        uses: list[list[int]] = []
+        of: list[list[int]] = []
         for p, (_, _, _, _, text, terms, identifiers, hints) in enumerate(plans):
             own = [("term", x) for x in terms] + [("name", x) for x in identifiers if x] + [("hint", x.lower()) for x in hints]
             own += [("phrase", text.lower())] if len(text) >= 6 else []
-            uses += [(features.setdefault(f, len(features)), p) for f in own]
+            of.append([features.setdefault(f, len(features)) for f in own])
+            for f in of[-1]:
+                if f == len(uses):
+                    uses.append([])
+                uses[f].append(p)
         self.features = list(features)
+        classes: dict[tuple, int] = {}
+        self.members: list[list[int]] = []
+        for p, own in enumerate(of):
+            common = sorted(f for f in own if len(uses[f]) > shared)
+            c = classes.setdefault((plans[p][3], *common), len(classes)) if common else -1
+            if c == len(self.members):
+                self.members.append([])
+            if c >= 0:
+                self.members[c].append(p)
+        self.rare = [u if len(u) <= shared else [] for u in uses]
+        self.common: list[list[int]] = [[] for _ in uses]
+        for (_, *common), c in classes.items():
+            for f in common:
+                self.common[f].append(c)
+
+
+class Matcher:
+    """The automaton of plans, and for each feature the plans that have it if it is rare, or else their classes."""
+
+    def __init__(self, plans: list[tuple], uses: Uses | None = None):
+        import ahocorasick
+
+        uses = uses or Uses(plans, SHARED)
+        self.features = uses.features
         strings: dict[str, int] = {}
         number = lambda s: strings.setdefault(s, len(strings))
         self.strings = []
@@ -111,9 +149,11 @@ class Matcher:
             self.automaton.add_word(s, i)
         if strings:
             self.automaton.make_automaton()
-        uses.sort()
-        self.plan = np.array([p for _, p in uses], np.int64)
-        self.first = np.searchsorted([f for f, _ in uses], np.arange(len(self.features) + 1))
+        self.plans, self.classes = len(plans), len(uses.members)
+        self.rare, self.common = ([np.array(x, np.int64) for x in of] for of in (uses.rare, uses.common))
+        self.of_class = np.full(len(plans), self.classes, np.int64)
+        for c, own in enumerate(uses.members):
+            self.of_class[own] = c
 
     def counts(self, text: str) -> dict[int, int]:
         """How often each string stands in a text, without overlaps of its own."""
@@ -128,10 +168,11 @@ class Matcher:
         return n
 
     def scores(self, path: str, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Plans that a document (lower-case) shares a feature with, and their scores in tenths."""
+        """Plans that a document (lower-case) shares a rare feature with and, numbered after all plans, classes that it shares any with; their scores in tenths."""
         here, there = self.counts(text), self.counts(path)
         live = {f for s in (*here, *there) for f in self.of[s]}
         plans, values = [], []
+        total = np.zeros(self.classes + 1, np.int64)
         for f in live:
             kind, own = self.features[f][0], self.strings[f]
             n, inside = here.get(own[0], 0), own[0] in there
@@ -144,14 +185,17 @@ class Matcher:
             else:
                 value = 45 * inside + 18 * min(n, 4) + next((v for s, (_, v) in zip(own[1:], DEFINITIONS, strict=True) if s in here), 0)
             if value:
-                p = self.plan[self.first[f] : self.first[f + 1]]
-                plans.append(p)
-                values.append(np.full(len(p), value))
-        if not plans:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        total = np.bincount(np.concatenate(plans), np.concatenate(values)).astype(np.int64)
-        p = np.flatnonzero(total)  # a feature that is there has a value above 0
-        return p, total[p] + 2 * path.endswith(CODE)
+                total[self.common[f]] += value
+                if len(self.rare[f]):
+                    plans.append(self.rare[f])
+                    values.append(np.full(len(self.rare[f]), value))
+        c = np.flatnonzero(total)  # a feature that is there has a value above 0
+        p, tenths = self.plans + c, total[c]
+        if plans:
+            own, place = np.unique(np.concatenate(plans), return_inverse=True)
+            more = np.bincount(place, np.concatenate(values)).astype(np.int64) + total[self.of_class[own]]
+            p, tenths = np.concatenate([own, p]), np.concatenate([more, tenths])
+        return p, tenths + 2 * path.endswith(CODE)
 
 
 class Rounded:
@@ -169,15 +213,28 @@ class Rounded:
         return self.table[self.kind[plans], tenths]
 
 
-def _best(plans: list[tuple], top: int):
+#: What tasks find: rows of a query, or of a class.
+_FOUND = "query long, plan long, kind string, class long, id long, score double, size long"
+
+
+def _best(plans: list[tuple], top: int, base: int = 0):
+    """A task's best rows for each query and, numbered from ``base`` on, each class."""
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.int64()]
+    names = [x.split()[0] for x in _FOUND.split(", ")]
+    shared = SHARED  # as the driver has it
     queries = {q: i for i, q in enumerate(dict.fromkeys(p[0] for p in plans))}
     of, weight = [queries[p[0]] for p in plans], [p[3] for p in plans]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher, rounded, query = Matcher(plans), Rounded(weight), np.array(of, np.int64)
-        best: list[list[tuple]] = [[] for _ in queries]
+        uses = Uses(plans, shared)
+        # Classes stand after the queries, as plans of their own.
+        lists = len(queries) + len(uses.members)
+        matcher, rounded = Matcher(plans, uses), Rounded(weight + [weight[m[0]] for m in uses.members])
+        query = np.concatenate([np.array(of, np.int64), np.arange(len(queries), lists)])
+        del uses
+        best: list[list[tuple]] = [[] for _ in range(lists)]
         # What a query's last row has, once it has ``top``: only better documents are looked at one by one.
-        floor, size, last = np.full(len(queries), -1.0), np.zeros(len(queries), np.int64), np.zeros(len(queries), np.int64)
+        floor, size, last = np.full(lists, -1.0), np.zeros(lists, np.int64), np.zeros(lists, np.int64)
         for batch in batches:
             for i, path, text in zip(*(batch.column(c).to_pylist() for c in ("id", "path", "text")), strict=True):
                 p, tenths = matcher.scores(path, text)
@@ -202,10 +259,11 @@ def _best(plans: list[tuple], top: int):
                         heapq.heapreplace(best[a], row)
                     if len(best[a]) == top:
                         floor[a], size[a], last[a] = best[a][0][0], -best[a][0][1], -best[a][0][2]
-        rows = [(plans[p][0], -i, plans[p][1], plans[p][2], score, -size) for q in best for score, size, i, p in ((s, z, i, -x) for s, z, i, x in q)]
-        if rows:
-            q, i, plan, kind, score, size = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(i, pa.int64()), pa.array(plan, pa.int64()), pa.array(kind), pa.array(score, pa.float64()), pa.array(size, pa.int64())], names=["query", "id", "plan", "kind", "score", "size"])
+        whole = [(*p[:3], None) for p in plans] + [(None, None, None, base + c) for c in range(lists - len(queries))]
+        for a in range(0, lists, 1024):
+            rows = [(*whole[-x], -i, s, -z) for q in best[a : a + 1024] for s, z, i, x in q]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     return run
 
@@ -219,10 +277,19 @@ def matches(docs: DataFrame, plans: DataFrame, top: int, round_queries: int = RO
     own = docs.where("id is not null").select("id", *[F.lower(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in ("path", "text")])
     full = plans.select("query", "plan", "kind", "weight", "text", query_terms(F.col("text")).alias("terms"), exact_identifiers(F.col("text")).alias("identifiers"), path_hints(F.col("text")).alias("hints"))
     rounds = max(1, -(-plans.select("query").distinct().count() // round_queries))
-    near = None
+    near = members = None
+    classes = 0
     for r in range(rounds):
-        part = full.where(F.pmod(F.xxhash64("query"), F.lit(rounds)) == r).orderBy("query", "plan").collect()  # a round's plans
-        found = own.mapInArrow(_best([tuple(p) for p in part], top), "query long, id long, plan long, kind string, score double, size long")
-        near = found if near is None else near.unionByName(found)
-    w = W.partitionBy("query").orderBy(F.desc("score"), "size", "id")
-    return near.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= top).drop("size")
+        part = [tuple(p) for p in full.where(F.pmod(F.xxhash64("query"), F.lit(rounds)) == r).orderBy("query", "plan").collect()]  # a round's plans
+        found = own.mapInArrow(_best(part, top, classes), _FOUND)
+        rows = [(classes + c, *part[p][:3]) for c, m in enumerate(Uses(part, SHARED).members) for p in m]
+        classes = max([classes, *[x[0] + 1 for x in rows]])
+        held = cut(docs.sparkSession.createDataFrame(pa.table([pa.array([x[k] for x in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string()))], names=["class", "query", "plan", "kind"])), "members")
+        near, members = (found, held) if near is None else (near.unionByName(found), members.unionByName(held))
+    near = cut(near, "near")
+    ahead = [F.desc("score"), F.col("size"), F.col("id")]
+    shared = near.where("class is not null").withColumn("n", F.row_number().over(W.partitionBy("class").orderBy(*ahead))).where(F.col("n") <= top)
+    shared = shared.select("class", "id", "score", "size").join(members, "class")
+    every = near.where("class is null").drop("class").unionByName(shared.drop("class"))
+    best = every.groupBy("query", "id").agg(F.max(F.struct("score", -F.col("plan"), "plan", "kind", "size")).alias("x")).select("query", "id", "x.plan", "x.kind", "x.score", "x.size")
+    return best.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(*ahead)).cast("long")).where(F.col("rank") <= top).drop("size")

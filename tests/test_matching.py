@@ -92,3 +92,23 @@ def test_symbols(spark):
     want = {(2, "loader_two"): 2.8 + rank(1) + base(3), (1, "load"): 6 + 1.2 + rank(2) + base(2), (1, "Loader"): 2.8 + 1.2 + rank(2) + base(2), (1, "fetchAll"): 6 + 2.8 + 2.8 + 16 + 1.2 + rank(2) + base(2)}
     assert {k: round(v, 4) for k, v in want.items()} == got
     assert [r["symbol"] for r in Z.symbol_hits(docs, plans, best, 2).orderBy("line").collect() if r["id"] == 2] == ["loader_two"]
+
+
+def test_common_features_are_scored_once_a_class(spark, monkeypatch):
+    """Every query met every document that has a word of all queries."""
+    r = random.Random(6)
+    words = ["open", "lib", "class", "find", "m1", "m12", "c7", "red", "x/m1.py"]
+    asked = table(spark, [(i, f"open x/m{i}.py and then find class C{i}, method m{i} {r.choice(words)}") for i in range(40)])
+    docs = spark.createDataFrame([(i, r.choice(["x/m1.py", f"x/m{i}.py", "q"]), " ".join(r.choice(words) for _ in range(r.randint(1, 6))) + f" class c{i}") for i in range(80)], "id long, path string, text string").repartition(3)
+    plans = M.query_plans(asked).cache()
+    plain_rows = sorted(map(tuple, M.matches(docs, plans, 7).collect()))
+    monkeypatch.setattr(M, "SHARED", 20)
+    assert sorted(map(tuple, M.matches(docs, plans, 7).collect())) == plain_rows
+    assert sorted(map(tuple, M.matches(docs, plans, 7, 9).collect())) == plain_rows
+    full = [tuple(p) for p in plans.select("query", "plan", "kind", "weight", "text", M.query_terms(M.F.col("text")), M.exact_identifiers(M.F.col("text")), M.path_hints(M.F.col("text"))).orderBy("query", "plan").collect()]
+    m = M.Matcher(full)
+    entries, _ = m.scores("q", "open the lib")
+    assert 0 < m.classes < len(full) / 2 and len(entries) < m.classes + 20
+    batch = M.pa.RecordBatch.from_pydict({"id": list(range(500)), "path": ["q"] * 500, "text": ["open the class"] * 500})
+    rows = [x for got in M._best(full, 7)(iter([batch])) for x in got.to_pylist()]
+    assert {x["query"] for x in rows} == {None} and len(rows) <= 7 * m.classes
