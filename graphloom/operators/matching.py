@@ -185,8 +185,9 @@ class Matcher:
             else:
                 value = 45 * inside + 18 * min(n, 4) + next((v for s, (_, v) in zip(own[1:], DEFINITIONS, strict=True) if s in here), 0)
             if value:
-                total[self.common[f]] += value
-                if len(self.rare[f]):
+                if len(self.common[f]):
+                    total[self.common[f]] += value
+                else:
                     plans.append(self.rare[f])
                     values.append(np.full(len(self.rare[f]), value))
         c = np.flatnonzero(total)  # a feature that is there has a value above 0
